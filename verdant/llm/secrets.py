@@ -39,6 +39,8 @@ PLAIN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 ALPHA = 0.05
 #: Log-likelihood per character by which a credential format must beat plain words.
 MARGIN = 1.0
+#: Added on both sides to the range of a format's own scores, less its outer fiftieths.
+SLACK = 0.03
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -178,8 +180,9 @@ class Scanner:
     def __init__(self, found: dict[str, list[str]], words: list[str]):
         self.formats = {k: Automaton([symbols(x) for x in v]) for k, v in sorted(found.items()) if len(v) >= 20}
         self.words = Automaton([symbols(x) for x in words]) if words else None
-        # A format's own examples set how likely a member is at least.
-        self.least = {k: min(sorted(a.score(symbols(x)) for x in found[k])[len(found[k]) // 50 :]) - 0.1 for k, a in self.formats.items()}
+        # A format's own examples set how likely a member is, at least and at most: digits alone are too likely a hex string.
+        own = {k: sorted(a.score(symbols(x)) for x in found[k]) for k, a in self.formats.items()}
+        self.range = {k: (x[len(x) // 50] - SLACK, x[-1 - len(x) // 50] + SLACK) for k, x in own.items()}
 
     def inferred(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
         out, at = [], 0
@@ -194,7 +197,7 @@ class Scanner:
             shape = symbols(token)
             plain = self.words.score(shape) if self.words else -math.inf
             scores = [(a.score(shape), k) for k, a in self.formats.items()]
-            good = [(s, k) for s, k in scores if s >= self.least[k] and s >= plain + MARGIN]
+            good = [(s, k) for s, k in scores if self.range[k][0] <= s <= self.range[k][1] and s >= plain + MARGIN]
             if good:
                 out.append((m.start(), f"like_{max(good)[1]}", m.end()))
         return out
