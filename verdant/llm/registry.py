@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from verdant.llm import bytebpe, decontaminate, quality, secrets, simhash
+from verdant.llm import bytebpe, decontaminate, pagetext, quality, repeats, secrets, simhash, tokenfile, toolcalls, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_tool_calls": toolcalls.op2_tool_calls,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_token_files": tokenfile.op4_token_files,
     "op5_byte_bpe": bytebpe.op5_byte_bpe,
     "op6_secrets": secrets.op6_secrets,
+    "op7_page_text": pagetext.op7_page_text,
+    "op8_repeats": repeats.op8_repeats,
+    "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
