@@ -1,0 +1 @@
+"""Spark-native harmonisation and analytics of occurrence-record catalogs and site registries."""
