@@ -58,7 +58,7 @@ def test_csv_with_trailing_blanks(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('﻿"a","b " \n"x ""y""","NA" \n"","z " \n', encoding="utf-8")
     df = tables.read_csv(spark, str(path))
-    assert df.columns == ["a", "b"] and [tuple(r) for r in df.collect()] == [('x "y"', None), (None, "z")]
+    assert df.columns == ["a", "b"] and [tuple(r) for r in df.collect()] == [('x "y"', None), (None, "z ")]
     with pytest.raises(FileNotFoundError):
         tables.read_csv(spark, str(tmp_path / "no.csv"))
     assert tables.read_optional_csv(spark, str(tmp_path / "no.csv"), "a string, n int").columns == ["a", "n"]

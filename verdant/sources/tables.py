@@ -22,7 +22,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, names and values trimmed, missing markers null. Raises FileNotFoundError."""
+    """All columns as text, names and what is outside quotes trimmed, missing markers null. Raises FileNotFoundError."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
     df = _clean_names(spark.read.csv(path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True))
