@@ -2,7 +2,7 @@
 
 DataFrame functions only. A document's histogram of character classes and its
 histogram of common words are compared with those of its language by
-Jensen-Shannon distance (base 2, so 0 to 1). The references are sums over all
+Jensen-Shannon distance (base 2, so 0 to 1). The references are means over all
 documents of the language: one aggregation of as many rows as there are
 languages, whose few numbers then are literals of the verdict. No row is
 shuffled apart from those partial sums.
@@ -98,20 +98,26 @@ def with_histograms(df: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 
 def references(features: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Per language the summed histograms of all its documents: (character classes, common words).
+    """Per language the mean shares over its documents: (character classes, common words).
 
-    At most one row per known language reaches the driver. A language that no
-    document has is absent.
+    Every document counts alike, whatever its length, if it is long enough to
+    be judged and the base rules pass it; a language without one is absent. At
+    most one row per known language reaches the driver.
     """
     size = len(next(iter(COMMON_WORDS.values()))) + 1
-    sums = [F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(CLASSES)] + [F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(size)]
-    return {r["_lang"]: ([r[f"c{i}"] for i in range(CLASSES)], [r[f"w{i}"] for i in range(size)]) for r in features.groupBy("_lang").agg(*sums).collect()}
+    share = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda a, y: a + y))
+    rows = features.where((F.col("n_words") >= LEAST_WORDS) & (F.col("word_chars") >= LEAST_CHARS) & ~_base_failed()).select("_lang", share("_classes").alias("c"), share("_common").alias("w"))
+    means = [F.avg(F.col("c")[i]).alias(f"c{i}") for i in range(CLASSES)] + [F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(size)]
+    return {r["_lang"]: ([r[f"c{i}"] for i in range(CLASSES)], [r[f"w{i}"] for i in range(size)]) for r in rows.groupBy("_lang").agg(*means).collect()}
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < LEAST_BASE_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
 
 
 def _distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of an array of counts from reference counts; null for an empty histogram."""
-    whole = sum(reference)
-    ref = F.array(*[F.lit(x / whole if whole else 0.0) for x in reference])
+    """Jensen-Shannon distance of an array of counts from reference shares; null for an empty histogram."""
+    ref = F.array(*map(F.lit, reference))
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
 
     def part(p: Column, q: Column) -> Column:
@@ -149,7 +155,7 @@ def quality(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", kee
         by_class = F.when(F.col("_lang") == lang, _distance(F.col("_classes"), classes)).otherwise(by_class)
         by_word = F.when(F.col("_lang") == lang, _distance(F.col("_common"), words)).otherwise(by_word)
     df = df.withColumn("class_distance", by_class).withColumn("word_distance", by_word)
-    df = df.withColumn("base_failed", (F.col("n_words") < LEAST_BASE_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words")))
+    df = df.withColumn("base_failed", _base_failed())
     odd = (F.col("word_chars") >= LEAST_CHARS) & (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE)
     strange = (F.col("n_words") >= LEAST_WORDS) & (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
     return df.withColumn("kept", ~F.col("base_failed") & ~odd & ~strange).drop("_lang", "_classes", "_common")
