@@ -152,14 +152,14 @@ class Automaton:
         self.size = len(self.states)
 
     def score(self, word: str) -> float:
-        """Log-likelihood per symbol, the end counted as one; a symbol without a transition restarts at the root."""
+        """Log-likelihood per symbol; a symbol without a transition restarts at the root."""
         state, total = 0, 0.0
         for c in word:
             total += self.log[state].get(c, self.unseen[state])
             state = self.next[state].get(c, 0)
             if state not in self.log:
                 state = 0
-        return (total + self.log[state].get("", self.unseen[state])) / (len(word) + 1)
+        return total / max(1, len(word))
 
 
 def examples(texts: list[str]) -> list[tuple[str, str]]:
