@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from verdant.llm import bytebpe, decontaminate, pagetext, quality, repeats, secrets, simhash, tokenfile, toolcalls, warc
 
+from verdant.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_tool_calls": toolcalls.op2_tool_calls,
@@ -16,4 +20,3 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
