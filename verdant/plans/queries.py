@@ -281,7 +281,7 @@ def palette_cycle(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 3 END, c_nationkey NULLS LAST, c_name) AS position FROM customer"""
+    """SELECT c_custkey, CAST(row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 3 END, c_nationkey NULLS LAST, c_name) AS INT) AS position FROM customer"""
 )
 def institution_order(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("group"), F.col("c_nationkey").alias("order"), F.col("c_name").alias("name"))
@@ -305,7 +305,7 @@ _MEDIA = "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'soon'
 
 
 @query(
-    f"""SELECT event_id, kind, row_number() OVER (ORDER BY coalesce(TRY_CAST(d AS DATE), DATE '1900-01-01') DESC, event_id DESC) AS position FROM
+    f"""SELECT event_id, kind, CAST(row_number() OVER (ORDER BY coalesce(TRY_CAST(d AS DATE), DATE '1900-01-01') DESC, event_id DESC) AS INT) AS position FROM
  (SELECT event_id, event_type AS kind, {_MEDIA} AS d FROM events WHERE event_type IN ('view', 'click'))"""
 )
 def media_order(spark, sf_dir):
