@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verdant.llm.shared import written
+
 RUN_TOKENS, WINDOW = 13, 8
 STRIDE = RUN_TOKENS - WINDOW + 1
 #: Shorter items are too common to tell anything.
 LEAST_TOKENS = 5
-#: A window must have as many tokens that are no slots.
-LEAST_WORDS = 4
+#: Of a run's tokens so many hundredths at least must be no slots; a window of slots alone counts for nothing.
+LEAST_WORD_PERCENT = 50
 #: Item windows (16 bytes each) up to this number are broadcast.
 MOST_BROADCAST = 500_000
 # Units of measure and currency.
@@ -65,20 +67,24 @@ def _windows(kinds: Column, length: int, stride: int) -> Column:
     """Array of (at, h, length): hashes of the windows that start at multiples of ``stride``."""
     last = F.size(kinds) - length
     at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(kinds, i + 1, length)).alias("h"), F.lit(length).alias("length")))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(kinds, i + j) for j in range(length)]).alias("h"), F.lit(length).alias("length")))
+
+
+def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, item, item_tokens, need): item tells rows apart, need is the run that contaminates."""
+    items = bench.select(F.col(id_col).alias("item_id"), _tokens(F.col(text_col), True).alias("item_tokens")).where(F.size("item_tokens") >= LEAST_TOKENS)
+    return items.select("item_id", F.xxhash64("item_id", "item_tokens").alias("item"), "item_tokens", F.least(F.lit(RUN_TOKENS), F.size("item_tokens")).alias("need")).dropDuplicates(["item"])
 
 
-def _item_windows(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, item_tokens, need, item_at, h, length): need is the run that contaminates."""
-    items = bench.select(F.col(id_col).alias("item_id"), _tokens(F.col(text_col), True).alias("item_tokens"))
-    items = items.withColumn("_kinds", F.transform("item_tokens", _kind)).withColumn("_n", F.size("item_tokens")).where(F.col("_n") >= LEAST_TOKENS)
-    items = items.withColumn("need", F.least(F.lit(RUN_TOKENS), F.col("_n")))
+def _item_windows(items: DataFrame) -> DataFrame:
+    """(item, item_at, h, length) of the windows that have a word."""
+    items = items.withColumn("_kinds", F.transform("item_tokens", _kind)).withColumn("_n", F.size("item_tokens"))
     windows = F.when(F.col("_n") >= RUN_TOKENS, _windows(F.col("_kinds"), WINDOW, 1))
     for n in range(LEAST_TOKENS, RUN_TOKENS):
         windows = windows.when(F.col("_n") == n, _windows(F.col("_kinds"), n, 1))
     rows = items.withColumn("_w", F.explode(windows)).withColumn("_at", F.col("_w")["at"])
-    words = F.size(F.filter(F.slice("_kinds", F.col("_at") + 1, F.col("_w")["length"]), lambda t: ~F.substring(t, 1, 1).isin(NUMBER, UNIT, NAME)))
-    return rows.where(words >= F.least(F.lit(LEAST_WORDS), F.col("_n") - 1)).select("item_id", "item_tokens", "need", F.col("_at").alias("item_at"), F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length"))
+    has_word = F.exists(F.slice("_kinds", F.col("_at") + 1, F.col("_w")["length"]), lambda t: ~F.substring(t, 1, 1).isin(NUMBER, UNIT, NAME))
+    return rows.where(has_word).select("item", F.col("_at").alias("item_at"), F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -94,33 +100,35 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text"))
-    found = _item_windows(bench, item_id, item_text)
+    items = _items(bench, item_id, item_text)
+    found = written(_item_windows(items), "items")
     small = found.select("h", "length").distinct()
-    lengths = [r["length"] for r in small.select("length").distinct().collect()]  # nine values at most
-    if not lengths:
-        lengths = [WINDOW]
+    lengths = sorted(r["length"] for r in small.select("length").distinct().collect()) or [WINDOW]  # nine values at most
     few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     near = lambda df: F.broadcast(df) if few else df
 
-    sampled = [_windows(F.col("_kinds"), n, STRIDE if n == WINDOW and n in lengths else 1) for n in lengths]
+    sampled = [_windows(F.col("_kinds"), n, STRIDE if n == WINDOW else 1) for n in lengths]
     hashed = docs.select("doc_id", _tokens(F.col("text"), False).alias("_kinds"))
     hashed = hashed.select("doc_id", F.explode(F.concat(*sampled)).alias("_w")).select("doc_id", F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length"))
     hits = hashed.join(near(small), ["h", "length"], "left_semi").select(F.col("doc_id").alias("_hit")).distinct()
-    # text and id identify a row: equal rows have equal results
-    some = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").select("doc_id", _tokens(F.col("text"), True).alias("tokens")).withColumn("row", F.xxhash64("tokens"))
-    every = F.concat(*[_windows(F.transform("tokens", _kind), n, 1) for n in lengths])
-    pairs = some.withColumn("_w", F.explode(every)).select("doc_id", "row", "tokens", F.col("_w")["at"].alias("at"), F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length")).join(near(found), ["h", "length"])
-    pairs = pairs.select("doc_id", "row", "tokens", "item_id", "item_tokens", "need", "length", "at", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    line = Window.partitionBy("doc_id", "row", "item_id", "item_tokens", "shift", "length").orderBy("at")
+    # Equal rows have equal results: the tokens' hash tells rows of an id apart.
+    some = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").select("doc_id", _tokens(F.col("text"), True).alias("tokens")).withColumn("row", F.xxhash64("doc_id", "tokens"))
+    some = written(some, "suspects").dropDuplicates(["row"])
+    every = F.concat(*[_windows(F.col("_kinds"), n, 1) for n in lengths])
+    pairs = some.select("row", F.transform("tokens", _kind).alias("_kinds")).select("row", F.explode(every).alias("_w")).select("row", F.col("_w")["at"].alias("at"), F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length")).join(near(found), ["h", "length"])
+    pairs = pairs.select("row", "item", "length", "at", (F.col("at") - F.col("item_at")).alias("shift"))
+    line = Window.partitionBy("row", "item", "shift", "length").orderBy("at")
     runs = pairs.withColumn("_run", F.col("at") - F.row_number().over(line))
-    runs = runs.groupBy("doc_id", "row", "item_id", "shift", "length", "_run").agg(F.first("tokens").alias("tokens"), F.first("item_tokens").alias("item_tokens"), F.first("need").alias("need"), F.min("at").alias("first"), F.count("*").alias("n"))
-    runs = runs.withColumn("run_tokens", (F.col("n") + F.col("length") - 1).cast("int")).where("run_tokens >= need")
+    runs = runs.groupBy("row", "item", "shift", "length", "_run").agg(F.min("at").alias("first"), (F.count("*") + F.col("length") - 1).cast("int").alias("run_tokens"))
+    # Texts come in again for whole runs only.
+    runs = runs.join(near(items), "item").where("run_tokens >= need").join(some, "row")
     ours, theirs = F.slice("tokens", F.col("first") + 1, F.col("run_tokens")), F.slice("item_tokens", F.col("first") - F.col("shift") + 1, F.col("run_tokens"))
     slots = F.filter(F.zip_with(theirs, ours, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: F.substring(x["a"], 1, 1).isin(NUMBER, UNIT, NAME))
     runs = runs.withColumn("_slots", slots)
     consistent = F.size(F.array_distinct("_slots")) == F.size(F.array_distinct(F.transform("_slots", lambda x: x["a"])))
     best = F.max(F.struct("run_tokens", F.size("_slots").alias("n_slots"), F.forall("_slots", lambda x: x["a"] == x["b"]).alias("verbatim")))
-    out = runs.where(consistent).groupBy("doc_id", "item_id").agg(best.alias("_b"))
+    worded = 100 * F.size("_slots") <= (100 - LEAST_WORD_PERCENT) * F.col("run_tokens")
+    out = runs.where(consistent & worded).groupBy("doc_id", "item_id").agg(best.alias("_b"))
     return out.select("doc_id", "item_id", F.col("_b")["run_tokens"].alias("run_tokens"), F.col("_b")["n_slots"].alias("n_slots"), F.col("_b")["verbatim"].alias("verbatim"))
 
 
