@@ -17,7 +17,7 @@ def documents(spark, rows):
 
 def with_clashing_columns(df):
     """Extra columns with names that operators use inside."""
-    for name in ("fp", "key", "tokens", "h", "row", "spans", "u", "v", "label", "kept_sha256", "n_tokens", "value", "path", "item_id"):
+    for name in ("fp", "key", "tokens", "h", "row", "spans", "u", "v", "label", "kept_sha256", "n_tokens", "value", "path", "item_id", "_words", "_lang", "_row", "_text", "_bad", "_hit", "_id"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit("x"))
     return df

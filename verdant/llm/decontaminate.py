@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdant.llm.shared import written
+from verdant.llm.shared import free_name, written
 
 RUN_TOKENS, WINDOW = 13, 8
 STRIDE = RUN_TOKENS - WINDOW + 1
@@ -134,8 +134,9 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less the rows whose id ``contamination`` returns; null ids compare as equal."""
-    bad = contamination(docs, bench, doc_id, text_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    name = free_name(docs, "_bad")
+    bad = contamination(docs, bench, doc_id, text_col).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -141,15 +141,11 @@ def quality(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", kee
     Nulls: a null text has no words and fails; a null or unknown language
     stands for the one of whose common words the text has most. Repeated rows
     are judged each. An empty table gives an empty result. An input column of
-    a result's name is replaced by the result; names that begin with an
-    underscore and clash with a working column are refused.
+    a result's name is replaced by the result; all others may have any names.
     """
-    clash = [c for c in docs.columns if c in WORKING]
-    if clash:
-        raise ValueError(f"columns {clash} are reserved")
-    docs = docs.drop("class_distance", "word_distance", "base_failed", "kept")
-    features = with_histograms(with_counts(docs, text_col), lang_col)
-    df = written(features if keep_text else features.drop(text_col), "quality")
+    kept = [c for c in docs.columns if c not in ADDED and (keep_text or c != text_col)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_stated"))
+    df = written(with_histograms(with_counts(rows, "_text"), "_stated").drop("_text", "_stated"), "quality")
     by_class = by_word = F.lit(None).cast("double")
     for lang, (classes, words) in sorted(references(df).items()):
         by_class = F.when(F.col("_lang") == lang, _distance(F.col("_classes"), classes)).otherwise(by_class)
@@ -158,10 +154,11 @@ def quality(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", kee
     df = df.withColumn("base_failed", _base_failed())
     odd = (F.col("word_chars") >= LEAST_CHARS) & (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE)
     strange = (F.col("n_words") >= LEAST_WORDS) & (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
-    return df.withColumn("kept", ~F.col("base_failed") & ~odd & ~strange).drop("_lang", "_classes", "_common")
+    return df.withColumn("kept", ~F.col("base_failed") & ~odd & ~strange).select("_row.*", *ADDED)
 
 
-WORKING = ["_words", "_dense", "_odd", "_lines", "_hashes", "_sorted", "_at", "_upper", "_digit", "_ascii", "_rest", "_few", "_own", "_lang", "_classes", "_common"]
+#: The columns that ``quality`` adds.
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 

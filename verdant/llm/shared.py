@@ -52,6 +52,13 @@ def drop(df: DataFrame) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def map_arrow(
     df: DataFrame, columns: list[str], schema: str, rows: Callable[[list[list]], Iterable[tuple]], batch_rows: int = 256
 ) -> DataFrame:
