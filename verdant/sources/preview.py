@@ -9,6 +9,8 @@ from urllib.parse import urljoin
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdant.shipping import ship
+
 # Meta names in the order in which they are tried.
 TITLE = ["og:title", "twitter:title"]
 DESCRIPTION = ["og:description", "twitter:description", "description"]
@@ -55,6 +57,8 @@ def previews(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     """(url, title, description, image) of each page, by an Arrow-batched Python function: markup isn't SQL."""
     import pandas as pd
 
+    ship(pages.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [preview(h, u) for u, h in zip(b["url"], b["html"], strict=True)]

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StringType, StructField, StructType
 
+from verdant.shipping import ship
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -90,6 +92,7 @@ class Workbook(DataSource):
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = "DwC_records") -> DataFrame:
+    ship(spark)
     spark.dataSource.register(Workbook)
     reader = spark.read.format("workbook")
     return (reader.option("sheet", sheet) if sheet else reader).load(path)
