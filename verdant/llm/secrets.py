@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm.shared import map_arrow, written
+from verdant.shipping import ship
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 # Runs of one class: a minimum in the pattern keeps the same matches as dropping the short ones.
@@ -262,6 +263,7 @@ def redact(text: str, scanner: Scanner) -> str:
 
 def redacted(docs: DataFrame, scanner: Scanner, text_col: str = "text") -> DataFrame:
     """``docs``, same columns and rows, with redacted texts; null texts stay null."""
+    ship(docs.sparkSession)
     handed = docs.sparkSession.sparkContext.broadcast(scanner)
     schema = docs.schema
     at = schema.fieldNames().index(text_col)

@@ -28,6 +28,7 @@ from tokenizers import Tokenizer
 
 from verdant.llm import files
 from verdant.llm.shared import new_path, written
+from verdant.shipping import ship
 
 MAGIC = b"VDPFOR01"
 BLOCK, PERCENTILE = 4096, 95
@@ -214,6 +215,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     first, equal ids in order of their texts' hashes. Rows are range-partitioned
     as AQE sizes them; a task holds one slice of texts, one block and its list of documents.
     """
+    ship(docs.sparkSession)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +244,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
     The manifest, one row per file, is summed up on the driver for the files' first ids.
     """
+    ship(spark)
     parts, base = [], 0
     for r in manifest.orderBy("part").toLocalIterator():
         parts.append((r["path"], base))

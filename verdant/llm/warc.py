@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm import files
 from verdant.llm.shared import new_path, written
+from verdant.shipping import ship
 
 # Fixed values of the formats.
 DICTIONARY_FRAME, ZSTD_FRAME, ZSTD_DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -176,6 +177,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     too large to broadcast, which Spark decides by its size at run time.
     """
     spark = pages.sparkSession
+    ship(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1("html"))
     again = rows.where(F.octet_length("html") >= least_bytes).groupBy(F.col("sha1").alias("_sha1")).agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
@@ -229,6 +231,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
+    ship(archives.sparkSession)
     n = archives.count()
     return archives.repartition(max(1, n)).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
