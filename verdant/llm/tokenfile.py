@@ -153,7 +153,7 @@ class Encoder:
 
     In texts of characters up to U+00FF (and some signs), whose case, forms and
     classes are beyond doubt, pre-tokens are cut here and each distinct one is
-    encoded by the library once; all other texts go to the library whole, as do
+    merged by the library's model once; all other texts go to the library whole, as do
     those with a special token's opening. Results are the library's own either way.
     """
 
@@ -168,7 +168,7 @@ class Encoder:
     def __init__(self, path: str = WORD_BPE):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
-        self.held: dict[str, bytes] = {}
+        self.held = _Held(self.library.model)
         special = self.library.get_added_tokens_decoder().values()
         self.special = [str(t.content) for t in special]
         self.splits_words = _is_word_bpe(self.library)
@@ -177,16 +177,36 @@ class Encoder:
         """Little-endian unsigned 32-bit ids."""
         if not self.splits_words or not self.PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.WORD.findall(text.lower())
-        held = self.held
-        new = [w for w in set(words) if w not in held]
-        if new:
-            if len(held) + len(new) > self.MOST_HELD:
-                held.clear()
-                new = list(set(words))
-            for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                held[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(held.__getitem__, words))
+        self.held.most = self.MOST_HELD
+        return b"".join(map(self.held.__getitem__, self.WORD.findall(text.lower())))
+
+
+class _Held(dict):
+    """Ids of words, merged when a word is first asked for; emptied when it holds ``most``."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.merge, self.most = model.tokenize, 0
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        got = [t.id for t in self.merge(word if word.isalpha() and word.isascii() else _as_letters(word))]
+        self[word] = ids = struct.pack(f"<{len(got)}I", *got)
+        return ids
+
+
+@lru_cache(maxsize=1)
+def _letters() -> list[str]:
+    """The printable character that stands for each byte: itself, or the next free one from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    free = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(free)) for b in range(256)]
+
+
+def _as_letters(word: str) -> str:
+    table = _letters()
+    return "".join([table[b] for b in word.encode()])
 
 
 def _is_word_bpe(library: Tokenizer) -> bool:
