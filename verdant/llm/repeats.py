@@ -21,7 +21,9 @@ its windows are compared by hash in an aggregation instead, with the same result
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm.shared import drop, written
+from verdant.shipping import ship
 
 LEAST, GRAM = 100, 16
 SPAN = LEAST - GRAM + 1
@@ -243,6 +246,8 @@ def _compare(contexts: DataFrame) -> DataFrame:
         held = 0
         for cols in _lists(batches, 1024):
             for row in zip(*cols, strict=True):
+                if block and row[:2] == block[-1][:2]:
+                    continue
                 if held >= BLOCK and row[0] != block[-1][0]:
                     if out := solve(block):
                         yield _batch(out, types, names)
@@ -252,7 +257,7 @@ def _compare(contexts: DataFrame) -> DataFrame:
         if block and (out := solve(block)):
             yield _batch(out, types, names)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, context long, first int, last int")
+    return contexts.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, "anchor long, context long, first int, last int")
 
 
 def _compare_crowd(contexts: DataFrame) -> DataFrame:
@@ -264,44 +269,56 @@ def _compare_crowd(contexts: DataFrame) -> DataFrame:
 
 
 def _free(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps now."""
-    import gc
+    """Lets Spark delete the shuffle files of finished steps: it does so once the driver's garbage is collected.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Python's proxies go in the first round, what they held in the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, spans) of (doc_id, row, text): arrays of (a, b), bytes that are repeated, unsorted and overlapping."""
+    """(row, spans) of (doc_id, row, text): arrays of (a, b), bytes that are repeated, unsorted and overlapping.
+
+    Steps are written tables, each deleted when the last that reads it is written.
+    """
     spark = docs.sparkSession
     every = _occurrences(docs)
     often = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
+    _free(spark)
     some = written(every.join(often, "anchor", "left_semi"), "occurrences")
     drop(often)
     _free(spark)
     firsts = some.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "start", "row", "windows")).alias("f"))
     firsts = written(firsts.select("anchor", "context", "f.*"), "firsts")
+    _free(spark)
     shared = firsts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    todo = firsts.join(shared, "anchor").select("anchor", "context", "doc_id", "start", "row", "windows", (F.col("m") > CROWD).alias("crowd"))
+    todo = firsts.join(shared, "anchor").select("anchor", "context", "start", "row", "windows", (F.col("m") > CROWD).alias("crowd"))
     per_doc = todo.groupBy("row").agg(F.collect_list(F.struct("anchor", "context", "start", "windows", "crowd")).alias("parts"))
     texts = docs.select("doc_id", "row", F.col("text").cast("binary").alias("text"))
     cut = texts.join(per_doc, "row").select("doc_id", "text", F.explode("parts").alias("p"))
     cut = cut.select("p.anchor", "p.context", "doc_id", "p.start", F.expr(f"substring(text, cast(p.start + 1 as int), p.windows + {LEAST - 1})").alias("bytes"), "p.crowd")
-    cut = written(cut.dropDuplicates(["anchor", "context"]), "contexts")
+    cut = written(cut, "contexts")  # equal rows of the input have cut the same: told apart below
     _free(spark)
     cols = ["anchor", "context", "doc_id", "start", "bytes"]
     late = _compare(cut.where("not crowd").select(*cols))
     if cut.where("crowd").head(1):
-        late = late.unionByName(_compare_crowd(cut.where("crowd").select(*cols)))
+        late = late.unionByName(_compare_crowd(cut.where("crowd").select(*cols).dropDuplicates(["anchor", "context"])))
     late = written(late.groupBy("anchor", "context").agg(F.collect_list(F.struct("first", "last")).alias("late")), "late")
     drop(cut)
     _free(spark)
     own = firsts.select("anchor", "context", F.col("doc_id").alias("d"), F.col("start").alias("s"))
     told = some.join(own, ["anchor", "context"])
-    again = told.where("doc_id > d or (doc_id = d and start > s)").select("doc_id", "row", F.col("start").alias("a"), (F.col("start") + F.col("windows") + LEAST - 1).alias("b"))
-    once = told.where("doc_id = d and start = s").select("anchor", "context", "doc_id", "row", "start").join(late, ["anchor", "context"])
-    once = once.select("doc_id", "row", "start", F.explode("late").alias("x")).select("doc_id", "row", (F.col("start") + F.col("x.first")).alias("a"), (F.col("start") + F.col("x.last") + LEAST).alias("b"))
-    return again.unionByName(once).distinct().groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    again = told.where("doc_id > d or (doc_id = d and start > s)").select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") + LEAST - 1).alias("b"))
+    once = told.where("doc_id = d and start = s").select("anchor", "context", "row", "start").join(late, ["anchor", "context"])
+    once = once.select("row", "start", F.explode("late").alias("x")).select("row", (F.col("start") + F.col("x.first")).alias("a"), (F.col("start") + F.col("x.last") + LEAST).alias("b"))
+    spans = written(again.unionByName(once).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    for table in (some, firsts, late):
+        drop(table)
+    _free(spark)
+    return spans
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -334,6 +351,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is less than all others, and comes back null. An empty table gives an
     empty result. Other columns are ignored, whatever their names.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("own_id", F.coalesce("own_id", F.lit(-(2**63))).alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows.select("doc_id", "row", "text"))
