@@ -68,3 +68,27 @@ def test_odd_pages(spark):
     got = sorted(((r["page_id"], r["n_chars"]) for r in P.main_text(df).collect()), key=repr)
     assert got == sorted([(1, 0), (2, 0), (3, 49), (3, 49), (None, 4), (4, 3 * 3000 - 2)], key=repr)
     assert P.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def article(lines, tag="article"):
+    return f"<body><{tag}>" + "".join(f"<p>{x}</p>" for x in lines) + f"</{tag}></body>"
+
+
+def test_articles_lose_unmarked_boilerplate_that_their_neighbour_has(spark):
+    rows = [(i, f"http://h/a/{i:03d}", article(["Share on Foo", f"Title {i}", f"Text number {i} is here.", "Sponsored", f"It goes on with {i}.", "All agree on that one.", "Yes.", f"End {i}.", "Read on.", "Print"], ("article", "main")[i % 2])) for i in range(20)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in P.main_text(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    # A short sentence beside another shared line isn't evident prose.
+    assert all(got[i] == [f"Title {i}", f"Text number {i} is here.", f"It goes on with {i}.", "All agree on that one.", f"End {i}."] for i in range(20))
+
+
+def test_short_sentences_amid_an_article_and_copies_of_articles_stay(spark):
+    rows = [(i, f"http://h/b/{i}", article([f"Title {i}", "Yes.", f"Own line {i}."])) for i in range(4)]
+    rows += [(10 + i, f"http://k/c/{i}", article(["The title", "A long sentence that both of the copies have in them.", f"Own {i}."])) for i in range(2)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in P.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all("Yes." in got[i] for i in range(4)) and all(got[10 + i][0] == "The title" and len(got[10 + i]) == 3 for i in range(2))
+
+
+def test_a_teaser_card_is_not_the_page(spark):
+    body = "This is the long body of the page, which is in no article at all."
+    page = f"<body><p>{body}</p><article><p>See this too</p></article></body>"
+    assert [r["text"] for r in P.main_text(spark.createDataFrame([(1, "http://h/a", page)], SCHEMA)).collect()] == [f"{body}\n\nSee this too"]

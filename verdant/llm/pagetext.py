@@ -3,9 +3,9 @@
 Pages of a host are sorted by URL path; each is compared with the neighbour of
 the longer common path. Their text lines are aligned by a longest common
 subsequence, and a page's lines that its neighbour has too are boilerplate.
-Lines inside an article are exempt, as articles do repeat sentences of each
-other, and lines of menus, headers, footers, sidebars, notices, adverts, forms
-and comments go by their markup alone, shared or not.
+Articles do repeat sentences of each other, so a shared line inside an article
+stays if it is evidently prose. Lines of menus, headers, footers, sidebars,
+notices, adverts, forms and comments go by their markup alone, shared or not.
 
 Only line hashes travel to the neighbour. Rows are range-partitioned by host
 and path, so a host of any size spreads over tasks; the first and last row of
@@ -42,6 +42,13 @@ NAMES = {
     "newsletter", "subscribe", "popup", "modal", "pagination", "pager", "skip",
 }
 
+#: Of an article's lines: one that is no sentence, a sentence of few words, a sentence of ``LEAST_WORDS`` or more. Others are OUTSIDE.
+OUTSIDE, FRAGMENT, SHORT, PROSE = range(4)
+LEAST_WORDS = 4
+#: Sentences of so many words outside an article, longer than it in sum, show that it isn't the page's body.
+LEAST_BODY_WORDS = 8
+SENTENCE = re.compile(r"""[.!?…。！？]["'”’»)\]]*\Z""")
+
 
 def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in BOILERPLATE or (tag == "header" and not in_main):
@@ -125,11 +132,18 @@ def _place(url: str) -> tuple[str, str]:
     return (m[1].lower(), m[2]) if m else ("", url.partition("#")[0])
 
 
-PARSED = "page_id long, url string, host string, path string, same long, hashes array<long>, texts array<string>, at array<int>, has_main boolean"
+def line_kind(text: str, least_words: int = LEAST_WORDS) -> int:
+    """What an article's line is."""
+    if not SENTENCE.search(text):
+        return FRAGMENT
+    return PROSE if len(text.split()) >= least_words else SHORT
+
+
+PARSED = "page_id long, url string, host string, path string, same long, hashes array<long>, texts array<string>, at array<int>, kinds array<int>"
 
 
 def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Per page its place, line hashes, a hash of those, and the lines that its markup leaves: those of the article, if it has one."""
+    """Per page its place, line hashes, a hash of those, and the lines that its markup leaves with their kinds: those of the article, if the body is in it."""
 
     def rows(columns):
         for key, url, raw in zip(*columns, strict=True):
@@ -138,9 +152,11 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
             hashes = [_signed(xxhash.xxh64_intdigest(t)) for t, _, _ in found]
             left = [i for i, (_, _, bad) in enumerate(found) if not bad]
             main = [i for i in left if found[i][1]]
-            keep = main or left
+            body = sum(len(found[i][0]) for i in left if not found[i][1] and line_kind(found[i][0], LEAST_BODY_WORDS) == PROSE)
+            keep = main if main and body <= sum(len(found[i][0]) for i in main) else left
+            kinds = [line_kind(found[i][0]) if found[i][1] else OUTSIDE for i in keep]
             same = _signed(xxhash.xxh64_intdigest(",".join(map(str, hashes))))
-            yield key, url, *_place(url or ""), same, hashes, [found[i][0] for i in keep], keep, bool(main)
+            yield key, url, *_place(url or ""), same, hashes, [found[i][0] for i in keep], keep, kinds
 
     cols = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     return map_arrow(cols, ["_id", "_url", "_html"], PARSED, rows)
@@ -292,8 +308,11 @@ def shared_lines(places: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) for each page; n_shared counts its lines that the nearest page has too.
 
-    A page with an article has the article's lines; another has all lines that
-    neither its markup nor its neighbour marks as boilerplate.
+    A page has all lines that neither its markup nor its neighbour marks as
+    boilerplate; one with its body in an article has none outside it. A shared
+    line of an article stays if it is a sentence of four words or more, or a
+    shorter one between lines that aren't shared. If such longer sentences are
+    over half of the article, the neighbour is a copy of it and takes nothing.
 
     Nulls: a null html is an empty page, a null url a page of no host; null
     ids stay. Repeated rows have a row each and aren't each other's
@@ -305,8 +324,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     places = rows.select(*key, "hashes").dropDuplicates(key)
     shared = shared_lines(places)
     out = rows.drop("hashes").join(shared, key, "left")
-    left = F.when(F.col("has_main"), F.col("texts")).otherwise(F.filter("texts", lambda t, i: ~F.array_contains("shared", F.get("at", i))))
-    out = out.withColumn("text", F.array_join(left, "\n\n"))
+    lines_ = F.transform("texts", lambda t, i: F.struct(t.alias("t"), F.get("kinds", i).alias("kind"), F.coalesce(F.array_contains("shared", F.get("at", i)), F.lit(False)).alias("shared")))
+    out = out.withColumn("_lines", lines_)
+    chars = lambda found: F.aggregate(found, F.lit(0), lambda n, x: n + F.length(x["t"]))
+    article = F.filter("_lines", lambda x: x["kind"] != OUTSIDE)
+    out = out.withColumn("_copy", 2 * chars(F.filter("_lines", lambda x: (x["kind"] == PROSE) & x["shared"])) > chars(article))
+    alone = lambda i: ~F.coalesce(F.get("_lines", i)["shared"], F.lit(True))
+    stays = lambda x, i: ~x["shared"] | (x["kind"] == PROSE) | ((x["kind"] == SHORT) & alone(i - 1) & alone(i + 1)) | ((x["kind"] != OUTSIDE) & F.col("_copy"))
+    out = out.withColumn("text", F.array_join(F.transform(F.filter("_lines", stays), lambda x: x["t"]), "\n\n"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("shared").cast("long").alias("n_shared"))
 
 
