@@ -55,3 +55,10 @@ def test_odd_rows_and_empty_tables(spark):
     docs = documents(spark, [(1, ITEM), (None, ITEM), (2, None), (3, "fine")])
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert sorted(r["doc_id"] for r in D.without_contaminated(docs, bench).collect()) == [2, 3]
+
+
+def test_names_in_mixed_case_are_one_slot(spark):
+    item = "once we met McDonald and LeBron who came from JavaScript to see DeShawn over there"
+    other = item.replace("LeBron", "LaToya")
+    got = found(spark, [(d, lead + t) for d, (lead, t) in enumerate([("", item), ("so it is that ", item), ("and ", other)])], [(1, item)])
+    assert set(got) == {(0, 1), (1, 1), (2, 1)} and got[0, 1]["verbatim"] and not got[2, 1]["verbatim"]

@@ -38,23 +38,17 @@ UNITS = [
 ]
 # Slots begin with a private-use character; such characters in a text are read as slots.
 NUMBER, UNIT, NAME, POINT = "", "", "", ""
-_DIGITS = r"\d+(?:[.,]\d+)*"
 _NAMES = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;]\s\p{Lu})\p{Ll}+"
 _UNIT = rf"({NUMBER}[\d{POINT}]*)\s*(?i:({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])|([%$€£]))"
 
 
-def _tokens(text: Column, values: bool) -> Column:
-    """Template tokens; with ``values`` a slot's token goes on with its lower-case value."""
+def _tokens(text: Column) -> Column:
+    """Template tokens; a slot's token goes on with its lower-case value."""
     t = F.coalesce(text, F.lit(""))
-    if values:
-        t = F.regexp_replace(t, r"[.,](?<=\d[.,])(?=\d)", POINT)
-        t = F.regexp_replace(t, rf"(\d[\d{POINT}]*)", f" {NUMBER}$1 ")
-        t = F.regexp_replace(t, _UNIT, f"$1 {UNIT}$2$3 ")
-        t = F.regexp_replace(t, f"({_NAMES})", f"{NAME}$1")
-    else:
-        t = F.regexp_replace(t, _DIGITS, f" {NUMBER} ")
-        t = F.regexp_replace(t, _UNIT, f"$1 {UNIT} ")
-        t = F.regexp_replace(t, _NAMES, NAME)
+    t = F.regexp_replace(t, r"[.,](?<=\d[.,])(?=\d)", POINT)
+    t = F.regexp_replace(t, rf"(\d[\d{POINT}]*)", f" {NUMBER}$1 ")
+    t = F.regexp_replace(t, _UNIT, f"$1 {UNIT}$2$3 ")
+    t = F.regexp_replace(t, f"({_NAMES})", f"{NAME}$1")
     return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}-{POINT}%$€£]+"), "")
 
 
@@ -72,7 +66,7 @@ def _windows(kinds: Column, length: int, stride: int) -> Column:
 
 def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, item, item_tokens, need): item tells rows apart, need is the run that contaminates."""
-    items = bench.select(F.col(id_col).alias("item_id"), _tokens(F.col(text_col), True).alias("item_tokens")).where(F.size("item_tokens") >= LEAST_TOKENS)
+    items = bench.select(F.col(id_col).alias("item_id"), _tokens(F.col(text_col)).alias("item_tokens")).where(F.size("item_tokens") >= LEAST_TOKENS)
     return items.select("item_id", F.xxhash64("item_id", "item_tokens").alias("item"), "item_tokens", F.least(F.lit(RUN_TOKENS), F.size("item_tokens")).alias("need")).dropDuplicates(["item"])
 
 
@@ -108,11 +102,11 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     near = lambda df: F.broadcast(df) if few else df
 
     sampled = [_windows(F.col("_kinds"), n, STRIDE if n == WINDOW else 1) for n in lengths]
-    hashed = docs.select("doc_id", _tokens(F.col("text"), False).alias("_kinds"))
+    hashed = docs.select("doc_id", F.transform(_tokens(F.col("text")), _kind).alias("_kinds"))
     hashed = hashed.select("doc_id", F.explode(F.concat(*sampled)).alias("_w")).select("doc_id", F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length"))
     hits = hashed.join(near(small), ["h", "length"], "left_semi").select(F.col("doc_id").alias("_hit")).distinct()
     # Equal rows have equal results: the tokens' hash tells rows of an id apart.
-    some = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").select("doc_id", _tokens(F.col("text"), True).alias("tokens")).withColumn("row", F.xxhash64("doc_id", "tokens"))
+    some = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").select("doc_id", _tokens(F.col("text")).alias("tokens")).withColumn("row", F.xxhash64("doc_id", "tokens"))
     some = written(some, "suspects").dropDuplicates(["row"])
     every = F.concat(*[_windows(F.col("_kinds"), n, 1) for n in lengths])
     pairs = some.select("row", F.transform("tokens", _kind).alias("_kinds")).select("row", F.explode(every).alias("_w")).select("row", F.col("_w")["at"].alias("at"), F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length")).join(near(found), ["h", "length"])
