@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,16 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one of our own where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; in local mode a temporary one of our own where that is unset (tests).
+
+    Raises RuntimeError where it is unset and executors are other processes, which wouldn't see a folder of the driver's.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.partition("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="verdant-")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -34,25 +41,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is there when the application ends goes then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jpath, store = _found(spark, path)
+    store.mkdirs(jpath)
+    store.deleteOnExit(jpath)
+    store.delete(jpath, True)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table in the shared folder: its lineage ends here and survives lost executors."""
+    """``df`` as a written table in the shared folder: its lineage ends here and survives lost executors.
+
+    Spark deletes the shuffle files of the write as soon as it is done. The
+    table itself goes with ``drop``, or else when the application ends.
+    """
     spark = df.sparkSession
     ship(spark)
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._verdant_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the table behind a ``written`` frame that nothing reads any more."""
-    spark, path = df.sparkSession, df._verdant_path
+#: With this setting Spark deletes a query's shuffle files when the query ends, not when the driver's garbage is collected.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    was = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE) if was is None else spark.conf.set(_FREE, was)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the tables behind ``written`` frames that nothing reads any more."""
+    for df in tables:
+        jpath, store = _found(df.sparkSession, df._verdant_path)
+        store.delete(jpath, True)
+
+
+def _found(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def free_name(df: DataFrame, name: str) -> str:
