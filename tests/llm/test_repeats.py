@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from tests.llm.cases import documents, odd_rows, prose, with_clashing_columns
 from verdant.llm import repeats as R
@@ -61,7 +62,7 @@ def test_stretches_cover_every_window_once(monkeypatch):
     for chunk in (1 << 19, 300):
         monkeypatch.setattr(R, "CHUNK", chunk)
         seen = [set() for _ in texts]
-        for k, _, _, s, n in R.stretches(texts):
+        for k, _, _, s, n in (x for arrays in R.stretches(texts) for x in zip(*arrays, strict=True)):
             own = set(range(s, s + n))
             assert not own & seen[k]
             seen[k] |= own
@@ -73,10 +74,34 @@ def test_against_brute_force(spark):
     assert collected(R.without_repeats(with_clashing_columns(documents(spark, rows)).repartition(5))) == brute(rows)
 
 
-def test_crowded_anchors_and_cut_texts(spark, monkeypatch):
-    monkeypatch.setattr(R, "CROWD", 1)
-    rows = corpus(4)
-    assert collected(R.without_repeats(documents(spark, rows))) == brute(rows)
+@pytest.mark.parametrize("block", [1, 300, 2000, 20_000])
+def test_groups_that_fit_no_block_are_cut(spark, block):
+    rng = random.Random(block)
+    passage = prose(rng, 40)
+    rows = corpus(4, 30) + [(100 + i, f"{prose(rng, 4)} {passage[:: 1 if i % 9 else -1]} {prose(rng, rng.randint(1, 5))}") for i in range(60)]
+    rows += [(100, rows[-1][1]), (None, passage), (None, passage + " x")]
+    assert collected(R.without_repeats(documents(spark, rows), block=block)) == brute(rows)
+
+
+def test_parts_have_every_window_once_and_the_key_of_their_common_bytes():
+    rng = random.Random(6)
+    texts = [prose(rng, 60).encode() for _ in range(30)]
+    texts += [t[20:] + b"tail" for t in texts]
+    keys = {}
+    for data, bounds, whose, shift in R._runs(texts):
+        hashes, starts, counts = R.anchors(data, bounds)
+        for h, s, n in zip(hashes.tolist(), starts.tolist(), counts.tolist(), strict=True):
+            context = data[s : s + n + 99]
+            gram = R.gram_place(context)
+            assert R._grams(context)[gram : gram + 1].view("<i8")[0] == h and n - 1 <= gram
+            todo = [(h, 0, R.SPAN - 1, gram, h, 5, 0, n, 1, s, context)]
+            while any(p[1] < p[2] for p in todo):
+                todo = [x for p in todo for x in R.cut_parts(p)]
+                assert sorted(w for p in todo for w in range(p[6], p[6] + p[7])) == list(range(n))
+                assert all(p[10] == context[p[6] : p[6] + p[7] + 99] and p[9] == s + p[6] and p[3] == gram - p[6] for p in todo)
+            for p in todo:  # one place each: the key stands for the whole window
+                assert keys.setdefault(p[10], p[0]) == p[0]
+    assert len(set(keys.values())) == len(keys)
 
 
 def test_blocks():

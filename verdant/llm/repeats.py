@@ -15,15 +15,17 @@ those of the next, and each interval whose right end is new sets a boundary
 between suffixes of that common prefix length. At ``LEAST`` it stops; suffixes
 with no boundary between them share ``LEAST`` bytes.
 
-An anchor with more than ``CROWD`` distinct contexts isn't put into one block:
-its windows are compared by hash in an aggregation instead, with the same result.
+Contexts of an anchor that don't fit into one block are cut by the places of
+their windows around the anchor. All windows of a range of places have the
+bytes around the anchor in common that the outermost two share, so these bytes
+are the key of a smaller group. Parts that no other part equals in its key are
+done, equal parts are repeats of the earliest, and groups that still don't fit
+are cut again; at a range of one place the key is the whole window.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,27 +37,37 @@ from pyspark.sql import functions as F
 from verdant.llm.shared import drop, written
 from verdant.shipping import ship
 
-LEAST, GRAM = 100, 16
+LEAST, GRAM = 100, 32
 SPAN = LEAST - GRAM + 1
 #: Bytes hashed at once, windows of a long text cut there; below 2**20.
 CHUNK = 1 << 19
-#: Bytes of a block, and distinct contexts of an anchor that may share one.
-BLOCK, CROWD = 1 << 20, 2000
+#: Bytes of a block; contexts of an anchor that have more are cut into so many ranges of places at once.
+BLOCK, CUTS = 1 << 20, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFF)
 
 
+def _grams(data: bytes) -> np.ndarray:
+    """A hash of each ``GRAM``-byte string."""
+    n = len(data) - GRAM + 1
+    word = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = np.zeros(n, np.uint64)
+    for k in range(0, GRAM, 8):
+        h ^= word[k : k + n] * _MIX[k // 8 % 2]
+        h *= _MIX[0]
+        h ^= h >> np.uint64(29)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def anchors(data: bytes, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, windows) of the stretches of windows within ``bounds``, runs of windows in ``data``.
 
     ``data`` is below 2**20 bytes; a bound (a, b) has the windows that start from a to b - 1.
     """
-    n = len(data) - GRAM + 1
-    word = np.ndarray((n + 8,), "<u8", data + bytes(8), strides=(1,)).astype(np.uint64)
-    h = (word[:n] * _MIX[0]) ^ (word[8 : n + 8] * _MIX[1])
-    h ^= h >> np.uint64(29)
-    h *= _MIX[0]
-    h ^= h >> np.uint64(32)
+    h = _grams(data)
+    n = len(h)
     low = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
     least, width = low, 1
     while 2 * width <= SPAN:
@@ -73,38 +85,44 @@ def anchors(data: bytes, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.
     return h[(least[start] & _LOW).astype(np.int64)].view(np.int64), start, ends - start
 
 
-def stretches(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, anchor hash, context hash, first window, windows) of whole texts, about ``CHUNK`` bytes at once."""
+def gram_place(context: bytes) -> int:
+    """Where a context's anchor is in it."""
+    h = _grams(context[: LEAST])
+    return int(np.argmin((h & ~_LOW) | np.arange(len(h), dtype=np.uint64)))
+
+
+def _runs(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int]], np.ndarray, np.ndarray]]:
+    """(bytes, bounds, text of each bound, its first byte's place in that text, less its place here), about ``CHUNK`` bytes at once."""
     run: list[tuple[int, int, bytes]] = []
     held = 0
 
     def flush():
-        data = b"".join(d for _, _, d in run)
-        bounds, places, at = [], [], 0
-        for k, first, d in run:
+        bounds, at = [], 0
+        for _, _, d in run:
             bounds.append((at, at + len(d) - LEAST + 1))
-            places.append((k, first - at))
             at += len(d)
-        hashes, starts, counts = anchors(data, bounds)
-        of = np.searchsorted([a for a, _ in bounds], starts, side="right") - 1
-        for h, s, c, k in zip(hashes.tolist(), starts.tolist(), counts.tolist(), of.tolist(), strict=True):
-            yield places[k][0], h, _signed(data[s : s + c - 1 + LEAST]), s + places[k][1], c
+        shift = [first - a for (_, first, _), (a, _) in zip(run, bounds, strict=True)]
+        return b"".join(d for _, _, d in run), bounds, np.array([k for k, _, _ in run]), np.array(shift)
 
     for k, text in enumerate(texts):
         for first in range(0, len(text) - LEAST + 1, CHUNK):
             part = text[first : first + CHUNK + LEAST - 1]
             if held + len(part) > CHUNK + LEAST and run:
-                yield from flush()
+                yield flush()
                 run, held = [], 0
             run.append((k, first, part))
             held += len(part)
     if run:
-        yield from flush()
+        yield flush()
 
 
-def _signed(data: bytes) -> int:
-    x = xxhash.xxh64_intdigest(data)
-    return x - (1 << 64) if x >> 63 else x
+def stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (text, anchor hash, context hash, first window, windows) of the stretches of whole texts."""
+    for data, bounds, whose, shift in _runs(texts):
+        hashes, starts, counts = anchors(data, bounds)
+        of = np.searchsorted([a for a, _ in bounds], starts, side="right") - 1
+        digests = [xxhash.xxh64_digest(data[a:b]) for a, b in zip(starts.tolist(), (starts + counts + LEAST - 1).tolist(), strict=True)]
+        yield whose[of], hashes, np.frombuffer(b"".join(digests), ">i8").astype(np.int64), starts + shift[of], counts
 
 
 def rotations(text: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,108 +234,141 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def _anchor_counts(docs: DataFrame) -> DataFrame:
+    """(anchor, n): the anchors of all texts, summed up for each slice of rows."""
+
+    def run(batches):
+        for (texts,) in _lists(batches, 256):
+            found = [anchors(data, bounds)[0] for data, bounds, _, _ in _runs([t or b"" for t in texts])]
+            if found:
+                anchor, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
+
+    return docs.select("text").mapInArrow(run, "anchor long, n long")
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(anchor, context, doc_id, row, start, windows) of (doc_id, row, text)."""
-    long = pa.int64()
     names = ["anchor", "context", "doc_id", "row", "start", "windows"]
 
     def run(batches):
         for ids, keys, texts in _lists(batches, 256):
-            cols: list[list] = [[] for _ in names]
-            for k, h, c, s, n in stretches([t or b"" for t in texts]):
-                for col, v in zip(cols, (h, c, ids[k], keys[k], s, n), strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [long, long, long, long, long, pa.int32()], strict=True)], names=names)
+            ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
+            for of, hashes, contexts, starts, counts in stretches([t or b"" for t in texts]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes, contexts, ids[of], keys[of], starts, counts.astype(np.int32))], names=names)
 
     return docs.mapInArrow(run, "anchor long, context long, doc_id long, row long, start long, windows int")
 
 
-def _compare(contexts: DataFrame) -> DataFrame:
-    """(anchor, context, first, last): runs of windows of (anchor, context, doc_id, start, bytes) that an earlier one equals."""
+#: Parts of contexts: windows from ``first`` on whose places around the anchor are ``low`` to ``high``; ``key`` tells groups apart.
+PARTS = "key long, low int, high int, gram int, anchor long, context long, first int, windows int, doc_id long, start long, bytes binary"
+LATE = "anchor long, context long, first int, last int"
+
+
+def cut_parts(part: tuple, cuts: int = CUTS) -> Iterator[tuple]:
+    """A part of a context cut by ranges of places, with the range's common bytes as key. A window's place is how far it begins before the anchor."""
+    _, low, high, gram, anchor, context, first, windows, doc_id, start, data = part
+    step = -(-(high - low + 1) // cuts)
+    for a in range(low, high + 1, step):
+        b = min(a + step - 1, high)
+        i, j = max(0, gram - b), min(windows - 1, gram - a)  # window i has place gram - i
+        if i <= j:
+            shared = data[gram - a : gram - b + LEAST]
+            key = xxhash.xxh64_intdigest(shared, anchor & 0xFFFFFFFFFFFF ^ a << 48)
+            yield key - (key >> 63 << 64), a, b, gram - i, anchor, context, first + i, j - i + 1, doc_id, start + i, data[i : j + LEAST]
+
+
+def _cut(parts: DataFrame) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(parts.schema)
+
+    def run(batches):
+        for cols in _lists(batches, 1024):
+            out = [x for row in zip(*cols, strict=True) for x in cut_parts(row if row[3] >= 0 else (*row[:3], gram_place(row[-1]), *row[4:]))]
+            yield _batch(out, schema.types, schema.names)
+
+    return parts.mapInArrow(run, PARTS)
+
+
+def _compare(parts: DataFrame) -> DataFrame:
+    """Runs of windows of parts that an earlier part of the same key has; ``first`` and ``last`` count in the whole context."""
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     names = ["anchor", "context", "first", "last"]
 
     def solve(block):
-        runs = earlier_windows([x[4] for x in block], [(x[2], x[3]) for x in block])
-        return [(x[0], x[1], a, b) for x, own in zip(block, runs, strict=True) for a, b in own]
+        runs = earlier_windows([x[6] for x in block], [(x[4], x[5]) for x in block])
+        return [(x[1], x[2], x[3] + a, x[3] + b) for x, own in zip(block, runs, strict=True) for a, b in own]
 
     def run(batches):
         block: list[tuple] = []
         held = 0
         for cols in _lists(batches, 1024):
             for row in zip(*cols, strict=True):
-                if block and row[:2] == block[-1][:2]:
+                if block and row[:4] == block[-1][:4]:  # of equal rows of the input
                     continue
                 if held >= BLOCK and row[0] != block[-1][0]:
                     if out := solve(block):
                         yield _batch(out, types, names)
                     block, held = [], 0
                 block.append(row)
-                held += len(row[4])
+                held += len(row[6])
         if block and (out := solve(block)):
             yield _batch(out, types, names)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, "anchor long, context long, first int, last int")
-
-
-def _compare_crowd(contexts: DataFrame) -> DataFrame:
-    """The same for anchors of many contexts: windows by hash."""
-    window = F.expr(f"transform(sequence(0, octet_length(bytes) - {LEAST}), i -> struct(i as i, xxhash64(substring(bytes, i + 1, {LEAST})) as h))")
-    each = contexts.select("anchor", "context", "doc_id", "start", F.explode(window).alias("w")).select("anchor", "context", F.struct("doc_id", (F.col("start") + F.col("w.i")).alias("start")).alias("place"), F.col("w.i").alias("first"), F.col("w.h").alias("h"))
-    least = each.groupBy("anchor", "h").agg(F.min("place").alias("least"))
-    return each.join(least, ["anchor", "h"]).where("place > least").select("anchor", "context", "first", F.col("first").alias("last"))
-
-
-def _free(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps: it does so once the driver's garbage is collected.
-
-    Python's proxies go in the first round, what they held in the second.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(row, spans) of (doc_id, row, text): arrays of (a, b), bytes that are repeated, unsorted and overlapping.
+    order = ["key", "anchor", "context", "first"]
+    return parts.select(*order, "doc_id", "start", "bytes").repartition("key").sortWithinPartitions(*order).mapInArrow(run, LATE)
+
+
+def _late(parts: DataFrame, block: int) -> DataFrame:
+    """(anchor, context, first, last): runs of windows of distinct contexts that an earlier one has. Drops ``parts``, a written table."""
+    found = None
+    while True:
+        size = F.sum((F.col("windows") + LEAST - 1).cast("long"))
+        large = written(parts.groupBy("key", "low", "high").agg(size.alias("size")).where((F.col("size") > block) & (F.col("low") < F.col("high"))).select("key"), "large")
+        some = large.head(1)
+        late = written(_compare(parts.join(large, "key", "left_anti") if some else parts), "late")
+        found = late if found is None else found.unionByName(late)
+        if not some:
+            drop(parts, large)
+            return found
+        cut = written(_cut(parts.join(large, "key", "left_semi")).withColumn("digest", F.xxhash64("bytes")), "cut")
+        drop(parts, large)
+        least = cut.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "start")).alias("least"))
+        several = least.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        told = written(cut.join(least, ["key", "digest"]).withColumn("again", F.struct("doc_id", "start") > F.col("least")).drop("least", "digest"), "told")
+        late = written(told.where("again").select("anchor", "context", "first", (F.col("first") + F.col("windows") - 1).alias("last")), "late")
+        found = found.unionByName(late)
+        parts = written(told.where("not again").drop("again").join(several, "key", "left_semi").select(*parts.columns), "parts")
+        drop(cut, told)
+
+
+def repeated_spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, row, spans) of (doc_id, row, text): arrays of (a, b), bytes that are repeated, unsorted and overlapping.
 
     Steps are written tables, each deleted when the last that reads it is written.
     """
-    spark = docs.sparkSession
-    every = _occurrences(docs)
-    often = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
-    _free(spark)
-    some = written(every.join(often, "anchor", "left_semi"), "occurrences")
+    often = written(_anchor_counts(docs).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "often")
+    some = written(_occurrences(docs).join(often, "anchor", "left_semi"), "occurrences")
     drop(often)
-    _free(spark)
     firsts = some.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "start", "row", "windows")).alias("f"))
     firsts = written(firsts.select("anchor", "context", "f.*"), "firsts")
-    _free(spark)
-    shared = firsts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    todo = firsts.join(shared, "anchor").select("anchor", "context", "start", "row", "windows", (F.col("m") > CROWD).alias("crowd"))
-    per_doc = todo.groupBy("row").agg(F.collect_list(F.struct("anchor", "context", "start", "windows", "crowd")).alias("parts"))
+    shared = firsts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    todo = firsts.join(shared, "anchor", "left_semi")
+    per_doc = todo.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "context", "start", "windows")).alias("parts"))
     texts = docs.select("doc_id", "row", F.col("text").cast("binary").alias("text"))
-    cut = texts.join(per_doc, "row").select("doc_id", "text", F.explode("parts").alias("p"))
-    cut = cut.select("p.anchor", "p.context", "doc_id", "p.start", F.expr(f"substring(text, cast(p.start + 1 as int), p.windows + {LEAST - 1})").alias("bytes"), "p.crowd")
-    cut = written(cut, "contexts")  # equal rows of the input have cut the same: told apart below
-    _free(spark)
-    cols = ["anchor", "context", "doc_id", "start", "bytes"]
-    late = _compare(cut.where("not crowd").select(*cols))
-    if cut.where("crowd").head(1):
-        late = late.unionByName(_compare_crowd(cut.where("crowd").select(*cols).dropDuplicates(["anchor", "context"])))
-    late = written(late.groupBy("anchor", "context").agg(F.collect_list(F.struct("first", "last")).alias("late")), "late")
-    drop(cut)
-    _free(spark)
+    cut = texts.join(per_doc, ["doc_id", "row"]).select("doc_id", "text", F.explode("parts").alias("p"))
+    own_bytes = F.expr(f"substring(text, cast(p.start + 1 as int), p.windows + {LEAST - 1})").alias("bytes")
+    cut = cut.select(F.col("p.anchor").alias("key"), F.lit(0).alias("low"), F.lit(SPAN - 1).alias("high"), F.lit(-1).alias("gram"), "p.anchor", "p.context", F.lit(0).alias("first"), "p.windows", "doc_id", "p.start", own_bytes)
+    runs = _late(written(cut, "contexts"), block)
+    late = written(runs.groupBy("anchor", "context").agg(F.collect_list(F.struct("first", "last")).alias("late")), "late")
     own = firsts.select("anchor", "context", F.col("doc_id").alias("d"), F.col("start").alias("s"))
     told = some.join(own, ["anchor", "context"])
-    again = told.where("doc_id > d or (doc_id = d and start > s)").select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") + LEAST - 1).alias("b"))
-    once = told.where("doc_id = d and start = s").select("anchor", "context", "row", "start").join(late, ["anchor", "context"])
-    once = once.select("row", "start", F.explode("late").alias("x")).select("row", (F.col("start") + F.col("x.first")).alias("a"), (F.col("start") + F.col("x.last") + LEAST).alias("b"))
-    spans = written(again.unionByName(once).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    for table in (some, firsts, late):
-        drop(table)
-    _free(spark)
+    again = told.where("doc_id > d or (doc_id = d and start > s)").select("doc_id", "row", F.col("start").alias("a"), (F.col("start") + F.col("windows") + LEAST - 1).alias("b"))
+    once = told.where("doc_id = d and start = s").select("anchor", "context", "doc_id", "row", "start").join(late, ["anchor", "context"])
+    once = once.select("doc_id", "row", "start", F.explode("late").alias("x")).select("doc_id", "row", (F.col("start") + F.col("x.first")).alias("a"), (F.col("start") + F.col("x.last") + LEAST).alias("b"))
+    spans = written(again.unionByName(once).groupBy("doc_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    drop(some, firsts, late)
     return spans
 
 
@@ -343,7 +394,7 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> Iterator[bytes]:
     yield text[at:]
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row, over its text's UTF-8 bytes.
 
     Strings are judged on the input. Rows of the same id are not earlier than
@@ -354,8 +405,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("own_id", F.coalesce("own_id", F.lit(-(2**63))).alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows.select("doc_id", "row", "text"))
-    both = rows.select("own_id", "row", F.col("text").cast("binary").alias("text")).join(spans, "row", "left").select("own_id", "text", "spans")
+    spans = repeated_spans(rows.select("doc_id", "row", "text"), block)
+    both = rows.select("own_id", "doc_id", "row", F.col("text").cast("binary").alias("text")).join(spans, ["doc_id", "row"], "left").select("own_id", "text", "spans")
 
     def run(batches):
         for ids, texts, found in _lists(batches, 256):
