@@ -1,11 +1,14 @@
 """Secret scans: base patterns, and credential formats inferred as probabilistic automata.
 
 A bounded sample of the base patterns' own matches are the labelled
-credentials. Per kind they make a prefix tree over character classes, whose
-statistically compatible states are merged (red and blue states, Hoeffding's
-bound) into a probabilistic automaton. Every token that could be a credential
-is scored by its log-likelihood per character under each automaton against an
-automaton of ordinary words; what is likelier as a credential becomes a span.
+credentials. Per kind they make a prefix tree of characters, whose
+statistically compatible states (Hoeffding's bound on what follows them, ends
+included) are merged into a probabilistic automaton: first states of the same
+depth, so that literal prefixes and lengths are learnt, then later states into
+earlier ones where the data show that they go on alike. Every token that could
+be a credential is scored by its likelihood. It becomes a span if a format
+explains it better than the automaton of the corpus's other tokens does, and
+if it is no more surprising than held-out examples of that format are.
 """
 
 from __future__ import annotations
@@ -15,13 +18,14 @@ import heapq
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.shared import map_arrow, written
+from verdant.llm.shared import drop, map_arrow, written
 from verdant.shipping import ship
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,18 +34,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN = 6
-#: Tokens that are scored: runs of these that have a digit, at least 16 long.
+#: Tokens that are scored.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Labelled values have so many characters at least; their prefix trees are so deep at most.
+#: Labelled values have so many characters at least; of longer ones than this the beginning is learnt.
 LEAST_VALUE, MOST_DEPTH = 16, 64
-#: Most labelled credentials of a kind, most plain words, and most of those from a slice of texts.
-MOST_EXAMPLES, MOST_WORDS, MOST_WORDS_A_SLICE = 2000, 4000, 200
-PLAIN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+#: Most labelled credentials of a kind, most plain tokens (candidates outside base matches), and most of those from a slice of texts.
+MOST_EXAMPLES, MOST_PLAIN, MOST_PLAIN_A_SLICE = 2000, 4000, 200
 ALPHA = 0.05
-#: Log-likelihood per character by which a credential format must beat plain words.
-MARGIN = 1.0
-#: Added on both sides to the range of a format's own scores, less its outer fiftieths.
-SLACK = 0.03
+#: Natural-log likelihood by which a format must beat the plain tokens.
+MARGIN = 0.0
+#: Surprise, in nats, that a token may have beyond its format's held-out examples: about that of one character out of place.
+SLACK = 12.0
+#: Weights of the whole format's characters in each state, of a class of characters in those, and of an end where no example ends.
+_POOLED, _CLASS, _END = 8.0, 1.0, 1e-12
+FOLDS = 5
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,30 +58,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _symbol(c: str) -> str:
-    """Characters by class: hex letters, other letters by case, digits; signs stand for themselves."""
-    if c.isdigit():
-        return "9"
-    if "a" <= c <= "f":
-        return "f"
-    if "g" <= c <= "z":
-        return "z"
-    if "A" <= c <= "Z":
-        return "Z"
-    return c
+def _class(c: str) -> tuple[str, int]:
+    """A character's class and that class's size; signs stand for themselves."""
+    if "0" <= c <= "9":
+        return "9", 10
+    if "a" <= c <= "z":
+        return "a", 26
+    return ("A", 26) if "A" <= c <= "Z" else (c, 1)
 
 
-def symbols(token: str) -> str:
-    return "".join(map(_symbol, token))
+END = ""
 
 
-class Automaton:
-    """A probabilistic automaton inferred from example strings by state merging.
+def _by_class(count: Counter) -> Counter:
+    out = Counter()
+    for c, n in count.items():
+        out[c and _class(c)] += n
+    return out
 
-    States of the prefix tree, breadth first, are merged into an earlier kept
-    state if their endings and outgoing symbols, and those of all states below,
-    differ by no more than Hoeffding's bound at ``alpha``.
-    """
+
+class Automaton:
+    """A probabilistic automaton inferred from example strings by state merging."""
 
     def __init__(self, examples: list[str], alpha: float = ALPHA, most_depth: int = MOST_DEPTH):
         self.next: list[dict[str, int]] = [{}]
@@ -89,140 +92,244 @@ class Automaton:
                     self.next.append({})
                     self.count.append(Counter())
                 state = self.next[state][c]
-            self.count[state][""] += 1
-        self._merge(alpha)
+            if len(word) <= most_depth:
+                self.count[state][END] += 1
+        self.into = list(range(len(self.next)))
+        self.by_class: dict[int, Counter] = {}
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self._merge_levels()
+        self._merge_loops()
         self._freeze()
 
-    def _alike(self, a: int, b: int, bound: float, depth: int = 0) -> bool:
-        ca, cb = self.count[a], self.count[b]
-        na, nb = ca.total(), cb.total()
-        if not na or not nb:
-            return True
-        most = bound * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
-        if most < 1 and any(abs(ca[c] / na - cb[c] / nb) > most for c in ca.keys() | cb.keys()):
-            return False
-        if depth > 64:
-            return True
-        return all(self._alike(self.next[a][c], self.next[b][c], bound, depth + 1) for c in self.next[a].keys() & self.next[b].keys() if self.next[a][c] != self.next[b][c])
-
-    def _fold(self, into: int, state: int) -> None:
-        """Adds the tree below ``state`` to ``into``."""
-        todo = [(into, state)]
+    def _find(self, state: int) -> int:
+        while self.into[state] != state:
+            self.into[state] = state = self.into[self.into[state]]
+        return state
+
+    def _classes(self, state: int) -> Counter:
+        if state not in self.by_class:
+            self.by_class[state] = _by_class(self.count[state])
+        return self.by_class[state]
+
+    def _most(self, a: int, b: int) -> float:
+        """The difference of two states' frequencies that chance may make; 1 or more says nothing."""
+        return self.bound * (1 / math.sqrt(max(1, self.count[a].total())) + 1 / math.sqrt(max(1, self.count[b].total())))
+
+    def _alike(self, a: int, b: int) -> bool:
+        """Whether no state below two states, met by the same characters, differs by more than chance."""
+        todo, seen = [(a, b)], set()
         while todo:
-            a, b = todo.pop()
+            a, b = map(self._find, todo.pop())
+            if a == b or (a, b) in seen:
+                continue
+            seen.add((a, b))
+            ca, cb, most = self.count[a], self.count[b], self._most(a, b)
+            if most >= 1:  # fewer examples below, which say nothing either
+                continue
+            na, nb = ca.total(), cb.total()
+            if any(abs(ca[c] / na - cb[c] / nb) > most for c in ca.keys() | cb.keys()):
+                return False
+            ka, kb = self._classes(a), self._classes(b)  # many characters of a class are rare each
+            if any(abs(ka[c] / na - kb[c] / nb) > most for c in ka.keys() | kb.keys()):
+                return False
+            todo += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys()]
+        return True
+
+    def _overlap(self, a: int, b: int) -> float:
+        """What two states' frequencies of classes have in common, for a choice among states that are all alike for want of examples."""
+        ka, kb = self._classes(a), self._classes(b)
+        na, nb = ka.total(), kb.total()
+        return sum(min(ka[c] / na, kb[c] / nb) for c in ka.keys() & kb.keys())
+
+    def _fold(self, a: int, b: int) -> None:
+        """Merges ``b`` into ``a``, and what the same characters lead to."""
+        todo = [(a, b)]
+        while todo:
+            a, b = map(self._find, todo.pop())
             if a == b:
                 continue
+            self.into[b] = a
             self.count[a].update(self.count[b])
+            self.by_class.pop(a, None)
             for c, child in self.next[b].items():
                 if c in self.next[a]:
                     todo.append((self.next[a][c], child))
                 else:
                     self.next[a][c] = child
 
-    def _merge(self, alpha: float) -> None:
-        bound = math.sqrt(0.5 * math.log(2 / alpha))
-        kept, at = [0], 0
-        blue = [(0, c) for c in sorted(self.next[0])]
-        while at < len(blue):
-            parent, c = blue[at]
-            at += 1
-            state = self.next[parent].get(c)
-            if state is None or state in kept:
+    def _children(self, state: int) -> list[int]:
+        return [self._find(self.next[state][c]) for c in sorted(self.next[state])]
+
+    def _merge_levels(self) -> None:
+        level = [0]
+        while level:
+            below = dict.fromkeys(x for s in level for x in self._children(s))
+            kept: list[int] = []
+            for state in sorted(below, key=lambda x: -self.count[x].total()):
+                # States without a class in common aren't merged for want of examples.
+                alike = [k for k in kept if self._overlap(k, state) and self._alike(k, state)]
+                if alike:
+                    self._fold(max(alike, key=lambda k: self._overlap(k, state)), state)
+                else:
+                    kept.append(state)
+            level = list(dict.fromkeys(map(self._find, kept)))
+
+    def _merge_loops(self) -> None:
+        kept, todo = [0], self._children(0)
+        for state in todo:  # grows
+            state = self._find(state)
+            if state in kept:
                 continue
-            for other in kept:
-                if self._alike(other, state, bound):
-                    self.next[parent][c] = other
-                    before = {k: set(self.next[k]) for k in kept}
-                    self._fold(other, state)
-                    blue += [(k, x) for k in kept for x in sorted(set(self.next[k]) - before[k])]
-                    break
-            else:
+            other = next((k for k in kept if self._most(k, state) < 1 and self._alike(k, state)), None)
+            if other is None:
                 kept.append(state)
-                blue += [(state, x) for x in sorted(self.next[state])]
-        self.states = kept
+                todo += self._children(state)
+            else:
+                self._fold(other, state)
 
     def _freeze(self) -> None:
-        """Log-probabilities with add-one smoothing over the symbols seen anywhere, the end and one unseen symbol."""
-        alphabet = {c for s in self.states for c in self.count[s]} | {""}
-        self.log: dict[int, dict[str, float]] = {}
-        self.unseen: dict[int, float] = {}
-        for s in self.states:
-            total = self.count[s].total() + 0.1 * (len(alphabet) + 1)
-            self.log[s] = {c: math.log((n + 0.1) / total) for c, n in self.count[s].items()}
-            self.unseen[s] = math.log(0.1 / total)
-        self.size = len(self.states)
-
-    def score(self, word: str) -> float:
-        """Log-likelihood per symbol; a symbol without a transition restarts at the root."""
-        state, total = 0, 0.0
+        """Log-likelihoods: a state's own frequencies, smoothed by those of all states and of classes of characters."""
+        states, todo = {0: 0}, [0]
+        for s in todo:  # grows
+            for x in self._children(s):
+                if x not in states:
+                    states[x] = len(states)
+                    todo.append(x)
+        self.size = len(states)
+        self.pooled: Counter = Counter()
+        for s in todo:
+            self.pooled.update(self.count[s])
+        self.pooled.pop(END, None)
+        self.classes, self.total = _by_class(self.pooled), max(1, self.pooled.total())
+        #: Of each state: log-likelihoods by character, classes' shares, weight of the smoothing, an end's log-likelihood, the usual surprise, where characters lead.
+        self.rows: list[tuple[dict[str, float], dict, float, float, float, dict[str, int], dict]] = []
+        for s in todo:
+            count, n = self.count[s], self.count[s].total()
+            shares = {k: x / n for k, x in _by_class(count).items()}
+            weight = _POOLED / (n + _POOLED)
+            logs = {c: math.log(k / (n + _POOLED) + weight * self._share(c, shares)) for c, k in count.items() if c != END}
+            end = math.log((count[END] + _END) / (n + _POOLED))
+            usual = -sum(k * logs.get(c, end) for c, k in count.items()) / max(1, n)
+            after = {c: states[self._find(x)] for c, x in self.next[s].items()}
+            # A character not met here goes where most of its class go, or else most of all.
+            likely = {None: states[s]}
+            for c in sorted(after, key=lambda c: (count[c], c)):
+                likely[_class(c)] = likely[None] = after[c]
+            self.rows.append((logs, shares, weight, end, usual, after, likely))
+        del self.next, self.count, self.into, self.by_class
+
+    def _share(self, c: str, shares: dict) -> float:
+        """A character's share by its class's in the state and its own in the class, mixed with its share of all states'."""
+        k = own, size = _class(c)
+        within = (self.pooled[c] + _CLASS / size) / (self.classes[k] + _CLASS)
+        return 0.9 * shares.get(k, 0.0) * within + 0.1 * (self.pooled[c] + _CLASS * self.classes[k] / self.total / size + 1e-9) / (self.total + _CLASS)
+
+    def score(self, word: str) -> tuple[float, float]:
+        """(log-likelihood, surprise): the latter is how much less likely the word is than its states' usual characters."""
+        state, total, surprise = 0, 0.0, 0.0
         for c in word:
-            total += self.log[state].get(c, self.unseen[state])
-            state = self.next[state].get(c, 0)
-            if state not in self.log:
-                state = 0
-        return total / max(1, len(word))
+            logs, shares, weight, _, usual, after, likely = self.rows[state]
+            x = logs.get(c)
+            if x is None:
+                x = logs[c] = math.log(weight * self._share(c, shares))
+            total += x
+            surprise -= x + usual
+            if c in after:
+                state = after[c]
+            else:
+                own = _class(c)
+                state = likely[own if own in likely else None]
+        _, _, _, end, usual, _, _ = self.rows[state]
+        return total + end, surprise - end - usual
 
 
 def examples(texts: list[str]) -> list[tuple[str, str]]:
-    """(kind, value) of all base matches of at least 16 characters, and the ("word", value) of plain words of least hash."""
-    out, words = [], set()
+    """(kind, value) of all base matches of at least 16 characters, and ("plain", value) of the other candidates of least hash."""
+    out, plain = [], set()
     for text in texts:
-        for start, kind, end in base_spans(text):
+        base = base_spans(text)
+        for start, kind, end in base:
             value = ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
             if len(value) >= LEAST_VALUE:
                 out.append((KINDS[kind], value))
-        words.update(w for w in PLAIN.findall(text) if not any(c.isdigit() for c in w))
-    return out + [("word", w) for _, w in heapq.nsmallest(MOST_WORDS_A_SLICE, ((xxhash.xxh64_intdigest(w), w) for w in words))]
+        plain.update(m[0] for m in outside(CANDIDATE, text, base))
+    return out + [("plain", w) for _, w in heapq.nsmallest(MOST_PLAIN_A_SLICE, ((xxhash.xxh64_intdigest(w), w) for w in plain))]
 
 
-class Scanner:
-    """Base spans and, per inferred format, the tokens that are likelier a credential than a word."""
+def outside(pattern: re.Pattern, text: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Matches that overlap no base span."""
+    at, reach = 0, 0
+    for m in pattern.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach, at = max(reach, taken[at][2]), at + 1
+        if reach <= m.start():
+            yield m
+
 
-    def __init__(self, found: dict[str, list[str]], words: list[str]):
-        self.formats = {k: Automaton([symbols(x) for x in v]) for k, v in sorted(found.items()) if len(v) >= 20}
-        self.words = Automaton([symbols(x) for x in words]) if words else None
-        # A format's own examples set how likely a member is, at least and at most: digits alone are too likely a hex string.
-        own = {k: sorted(a.score(symbols(x)) for x in found[k]) for k, a in self.formats.items()}
-        self.range = {k: (x[len(x) // 50] - SLACK, x[-1 - len(x) // 50] + SLACK) for k, x in own.items()}
+def _half(token: str) -> int:
+    return xxhash.xxh64_intdigest(token) & 1
+
+
+class Scanner:
+    """Base spans and, per inferred format, the tokens that are likelier of it than not."""
+
+    def __init__(self, found: dict[str, list[str]], plain: list[str]):
+        found = {k: sorted(set(v)) for k, v in sorted(found.items()) if v}
+        self.formats = {k: Automaton(v) for k, v in found.items()}
+        self.most = {k: self._held_out(v) + SLACK for k, v in found.items()}
+        # Each half of the plain tokens judges the other, or a secret among them would have taught what it is compared with.
+        halves = [[x for x in sorted(set(plain)) if _half(x) == k] for k in range(2)]
+        self.plain = [Automaton(x) if x else None for x in halves[::-1]]
+
+    @staticmethod
+    def _held_out(values: list[str]) -> float:
+        """The surprise that all but a fiftieth of the examples stay below when they are left out."""
+        folds = min(FOLDS, len(values))
+        if folds < 2:
+            return 0.0
+        seen = []
+        for k in range(folds):
+            rest = Automaton([x for i, x in enumerate(values) if i % folds != k])
+            seen += [rest.score(x)[1] for x in values[k::folds]]
+        return sorted(seen)[len(seen) - 1 - len(seen) // 50]
+
+    def format_of(self, token: str) -> str | None:
+        """The likeliest format that the token is of, if any."""
+        other = self.plain[_half(token)]
+        plain = other.score(token)[0] if other else -math.inf
+        scores = [(*a.score(token), k) for k, a in self.formats.items()]
+        good = [(likely, k) for likely, surprise, k in scores if surprise <= self.most[k] and likely >= plain + MARGIN]
+        return max(good)[1] if good else None
 
     def inferred(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
-        out, at = [], 0
-        for m in CANDIDATE.finditer(text):
-            token = m[0]
-            if not any(c.isdigit() for c in token):
-                continue
-            while at < len(taken) and taken[at][2] <= m.start():
-                at += 1
-            if any(s < m.end() and e > m.start() for s, _, e in taken[at : at + 3]):
-                continue
-            shape = symbols(token)
-            plain = self.words.score(shape) if self.words else -math.inf
-            scores = [(a.score(shape), k) for k, a in self.formats.items()]
-            good = [(s, k) for s, k in scores if self.range[k][0] <= s <= self.range[k][1] and s >= plain + MARGIN]
-            if good:
-                out.append((m.start(), f"like_{max(good)[1]}", m.end()))
-        return out
+        if not self.formats:
+            return []
+        found = ((m, self.format_of(m[0])) for m in outside(CANDIDATE, text, taken))
+        return [(m.start(), f"like_{k}", m.end()) for m, k in found if k]
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
         base = base_spans(text)
-        return base, self.inferred(text, base) if self.formats else []
+        return base, self.inferred(text, base)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Scanner:
     """A scanner from the labelled values of least hash in all texts.
 
-    Bounds: ``MOST_EXAMPLES`` values of a kind and ``MOST_WORDS`` plain words
-    (of the ``MOST_WORDS_A_SLICE`` of least hash in each 256 texts), each value
-    cut to ``MOST_DEPTH`` characters; the driver gets no more. Every text is read whole.
+    Bounds: ``MOST_EXAMPLES`` values of a kind and ``MOST_PLAIN`` other tokens
+    (of the ``MOST_PLAIN_A_SLICE`` of least hash in each 256 texts), each cut to
+    ``MOST_DEPTH`` characters and one more; the driver gets no more. Every text
+    is read whole. One example is enough for a format.
     """
 
     def rows(columns):
         return examples([(raw or b"").decode("utf-8", "replace") for raw in columns[0]])
 
     found = map_arrow(docs.select(F.col(text_col).alias("text")), ["text"], "kind string, value string", rows)
-    found = written(found.select("kind", F.substring("value", 1, MOST_DEPTH).alias("value")), "credentials")
+    found = written(found.select("kind", F.substring("value", 1, MOST_DEPTH + 1).alias("value")), "credentials")
     of = lambda kind, most: [r["value"] for r in found.where(F.col("kind") == kind).distinct().orderBy(F.xxhash64("value"), "value").limit(most).collect()]
-    return Scanner({k: of(k, MOST_EXAMPLES) for k in KINDS}, of("word", MOST_WORDS))
+    scanner = Scanner({k: of(k, MOST_EXAMPLES) for k in KINDS}, of("plain", MOST_PLAIN))
+    drop(found)
+    return scanner
 
 
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +342,7 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
     scanned each. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """
-    handed = docs.sparkSession.sparkContext.broadcast(scanner)  # some hundred states
+    handed = docs.sparkSession.sparkContext.broadcast(scanner)  # its bounded examples
 
     def rows(columns):
         for key, raw in zip(*columns, strict=True):
