@@ -1,45 +1,51 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
 Numbers, units and names become typed slots, all else lower-case words without
-punctuation. A document is contaminated by an item if a run of
-``RUN_TOKENS`` template tokens (or a whole shorter item) is common to both and
-the values in the run's slots are consistent: one document value for each item
-value. Thus the same question with other numbers or names is found, and a
-chance likeness of slots isn't.
+punctuation. A capitalised word that begins a sentence may be a name or not, so
+there are two readings of a text: in one those words are words, in the other
+names. A document is contaminated by an item if, in one reading, a window of
+``RUN_TOKENS`` template tokens (or a whole shorter item) is common to both, and
+either all its slots have the same values or at most half of its tokens are
+slots and their values are consistent: one document value for each item value.
+Thus the same question with other numbers or names is found, whatever comes
+before and after, and a chance likeness of slots isn't.
 
 Every run of ``RUN_TOKENS`` tokens holds a window of ``WINDOW`` tokens that
 begins at a multiple of ``STRIDE`` in the document, so only those windows of a
 document are hashed and joined with all windows of the items. Items are few;
-their windows are broadcast behind a count, and shuffled beyond it. Only
-documents that meet an item's window are compared in full.
+what is broadcast of them is counted first, and shuffled beyond a bound. Only
+documents that meet an item's window are compared in full, where they meet it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verdant.llm.shared import free_name, written
 
 RUN_TOKENS, WINDOW = 13, 8
-STRIDE = RUN_TOKENS - WINDOW + 1
-#: Shorter items are too common to tell anything.
-LEAST_TOKENS = 5
-#: Of a run's tokens so many hundredths at least must be no slots; a window of slots alone counts for nothing.
+#: Shorter items are left out; 1 keeps all that have a token.
+LEAST_TOKENS = 1
+#: Of a window's tokens so many hundredths at least must be no slots, unless it is verbatim.
 LEAST_WORD_PERCENT = 50
-#: Item windows (16 bytes each) up to this number are broadcast.
-MOST_BROADCAST = 500_000
+#: Item windows (some 30 bytes each) and item tokens up to these numbers are broadcast.
+MOST_BROADCAST, MOST_BROADCAST_TOKENS = 500_000, 1_000_000
 # Units of measure and currency.
 UNITS = [
     "mm", "cm", "dm", "m", "km", "inch", "inches", "ft", "feet", "yd", "mile", "miles", "mg", "g", "kg", "t", "lb", "lbs", "oz", "ml", "cl", "l", "s", "sec",
     "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "kb", "mb", "gb", "tb", "percent",
     "dollars", "euros", "cents", "usd", "eur",
 ]
-# Slots begin with a private-use character; such characters in a text are read as slots.
-NUMBER, UNIT, NAME, POINT = "", "", "", ""
+# Slots begin with a private-use character, and so do capitalised words that begin a sentence; such characters in a text are read as these.
+NUMBER, UNIT, NAME, POINT, INITIAL = "", "", "", "", ""
 _NAMES = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;]\s\p{Lu})\p{Ll}+"
+_INITIALS = rf"(?<![\p{{L}}\p{{N}}{NUMBER}-{INITIAL}%$€£])(?=\p{{Lu}}\p{{Ll}})"
 _UNIT = rf"({NUMBER}[\d{POINT}]*)\s*(?i:({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])|([%$€£]))"
+#: The readings: whether capitalised words that begin a sentence are names.
+READINGS = (False, True)
 
 
 def _tokens(text: Column) -> Column:
@@ -49,80 +55,138 @@ def _tokens(text: Column) -> Column:
     t = F.regexp_replace(t, rf"(\d[\d{POINT}]*)", f" {NUMBER}$1 ")
     t = F.regexp_replace(t, _UNIT, f"$1 {UNIT}$2$3 ")
     t = F.regexp_replace(t, f"({_NAMES})", f"{NAME}$1")
-    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}-{POINT}%$€£]+"), "")
+    t = F.regexp_replace(t, _INITIALS, INITIAL)
+    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}-{INITIAL}%$€£]+"), "")
+
+
+def _read(named: bool):
+    """A token as it is in a reading."""
+
+    def read(token: Column) -> Column:
+        word = F.substring(token, 2, 2**30)
+        return F.when(token.startswith(INITIAL), F.concat(F.lit(NAME), word) if named else word).otherwise(token)
+
+    return read
+
+
+def _is_slot(token: Column) -> Column:
+    return F.substring(token, 1, 1).isin(NUMBER, UNIT, NAME)
 
 
 def _kind(token: Column) -> Column:
     """A token without its value."""
-    return F.when(token.startswith(NUMBER), NUMBER).when(token.startswith(UNIT), UNIT).when(token.startswith(NAME), NAME).otherwise(token)
+    return F.when(_is_slot(token), F.substring(token, 1, 1)).otherwise(token)
+
+
+def _at(size: Column, length: int, stride: int) -> Column:
+    last = size - length
+    return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(kinds: Column, length: int, stride: int) -> Column:
-    """Array of (at, h, length): hashes of the windows that start at multiples of ``stride``."""
-    last = F.size(kinds) - length
-    at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(kinds, i + j) for j in range(length)]).alias("h"), F.lit(length).alias("length")))
+def _near(hashes: Column, length: int, stride: int) -> Column:
+    """Hashes of the windows that start at multiples of ``stride``, over the hashes of the tokens' kinds."""
+    return F.transform(_at(F.size(hashes), length, stride), lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + j) for j in range(length)]))
 
 
-def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, item, item_tokens, need): item tells rows apart, need is the run that contaminates."""
-    items = bench.select(F.col(id_col).alias("item_id"), _tokens(F.col(text_col)).alias("item_tokens")).where(F.size("item_tokens") >= LEAST_TOKENS)
-    return items.select("item_id", F.xxhash64("item_id", "item_tokens").alias("item"), "item_tokens", F.least(F.lit(RUN_TOKENS), F.size("item_tokens")).alias("need")).dropDuplicates(["item"])
+def _windows(tokens: Column, hashes: Column, length: int) -> Column:
+    """(at, near, h) of every window; h tells a window of slots alone by its values, near by its kinds."""
+    near = lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + j) for j in range(length)])
+    own = lambda i: F.slice(tokens, i + 1, length)
+    return F.transform(_at(F.size(tokens), length, 1), lambda i: F.struct(i.alias("at"), near(i).alias("near"), F.when(F.forall(own(i), _is_slot), F.xxhash64(own(i))).otherwise(near(i)).alias("h")))
 
 
-def _item_windows(items: DataFrame) -> DataFrame:
-    """(item, item_at, h, length) of the windows that have a word."""
-    items = items.withColumn("_kinds", F.transform("item_tokens", _kind)).withColumn("_n", F.size("item_tokens"))
-    windows = F.when(F.col("_n") >= RUN_TOKENS, _windows(F.col("_kinds"), WINDOW, 1))
-    for n in range(LEAST_TOKENS, RUN_TOKENS):
-        windows = windows.when(F.col("_n") == n, _windows(F.col("_kinds"), n, 1))
-    rows = items.withColumn("_w", F.explode(windows)).withColumn("_at", F.col("_w")["at"])
-    has_word = F.exists(F.slice("_kinds", F.col("_at") + 1, F.col("_w")["length"]), lambda t: ~F.substring(t, 1, 1).isin(NUMBER, UNIT, NAME))
-    return rows.where(has_word).select("item", F.col("_at").alias("item_at"), F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length"))
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(_kind(t)))
 
 
-def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def _readings(df: DataFrame, tokens: str) -> DataFrame:
+    """A row of ``df`` for each reading (column named), its tokens as they are read."""
+    read = [F.struct(F.lit(named).alias("named"), F.transform(tokens, _read(named)).alias("tokens")) for named in READINGS]
+    return df.withColumn("_r", F.explode(F.array(*read))).withColumn("named", F.col("_r")["named"]).withColumn(tokens, F.col("_r")["tokens"]).drop("_r")
+
+
+def _items(bench: DataFrame, id_col: str, text_col: str, least_tokens: int) -> DataFrame:
+    """(item_id, item, item_tokens, need, named): item tells rows apart, need is the run that contaminates."""
+    items = bench.select(F.col(id_col).alias("item_id"), _tokens(F.col(text_col)).alias("item_tokens")).where(F.size("item_tokens") >= max(1, least_tokens))
+    items = items.select("item_id", F.xxhash64("item_id", "item_tokens").alias("item"), "item_tokens", F.least(F.lit(RUN_TOKENS), F.size("item_tokens")).alias("need")).dropDuplicates(["item"])
+    return _readings(items, "item_tokens")
+
+
+def _windows_of(tokens: str, lengths: list[int]) -> Column:
+    return F.explode(F.concat(*[_windows(F.col(tokens), F.col("_hashes"), n) for n in lengths]))
+
+
+def stretches(pairs: DataFrame) -> DataFrame:
+    """(…, run_tokens, n_slots, verbatim) of each stretch of good windows in (theirs, ours, need), tokens side by side.
+
+    A window of ``need`` tokens is good if its tokens are of the same kinds
+    and its slots verbatim, or consistent and no more than half of it.
+    """
+    both = F.zip_with("theirs", "ours", lambda a, b: F.struct(a.alias("a"), b.alias("b"), (_kind(a) == _kind(b)).alias("same"), _is_slot(a).alias("slot")))
+    slots = lambda w: F.transform(F.filter(w, lambda x: x["slot"]), lambda x: F.struct(x["a"], x["b"]))
+
+    def good(w: Column) -> Column:
+        own = slots(w)
+        consistent = F.size(F.array_distinct(own)) == F.size(F.array_distinct(F.transform(own, lambda x: x["a"])))
+        worded = 100 * F.size(own) <= (100 - LEAST_WORD_PERCENT) * F.size(w)
+        return F.forall(w, lambda x: x["same"]) & (F.forall(own, lambda x: x["a"] == x["b"]) | (consistent & worded))
+
+    df = pairs.withColumn("_both", both)
+    at = F.when(F.size("_both") >= F.col("need"), F.sequence(F.lit(0), F.size("_both") - F.col("need"))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_good", F.filter(at, lambda i: good(F.slice("_both", i + 1, F.col("need"))))).where(F.size("_good") > 0)
+    edge = lambda step: F.filter("_good", lambda i: ~F.array_contains("_good", i + step))
+    df = df.withColumn("_s", F.explode(F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last"))))
+    run = (F.col("_s")["last"] - F.col("_s")["first"] + F.col("need")).cast("int")
+    df = df.withColumn("run_tokens", run).withColumn("_own", slots(F.slice("_both", F.col("_s")["first"] + 1, run)))
+    return df.withColumn("n_slots", F.size("_own")).withColumn("verbatim", F.forall("_own", lambda x: x["a"] == x["b"])).drop("_both", "_good", "_s", "_own")
+
+
+def contamination(
+    docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least_tokens: int = LEAST_TOKENS
+) -> DataFrame:
     """(doc_id, item_id, run_tokens, n_slots, verbatim) for each document and item that it contains.
 
-    run_tokens is the longest consistent common run, n_slots the slots in it,
-    verbatim whether all their values are the item's own.
+    run_tokens is the longest stretch all of whose windows count, in either
+    reading, n_slots the slots in it, verbatim whether all their values are
+    the item's own.
 
     Nulls: null texts contain nothing and are contained in nothing; a null
-    doc_id or item_id is an id like any other. Repeated rows give one row per
-    pair of ids. Items of fewer than five tokens are left out, items of fewer
-    than thirteen are found whole. Empty tables give an empty result. Other
-    columns are ignored, whatever their names.
+    doc_id or item_id is an id like any other. Repeated rows, items included,
+    give one row per pair of ids. Items of fewer than ``least_tokens`` tokens
+    are left out, items of fewer than thirteen are found whole. Empty tables
+    give an empty result. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text"))
-    items = _items(bench, item_id, item_text)
-    found = written(_item_windows(items), "items")
-    small = found.select("h", "length").distinct()
-    lengths = sorted(r["length"] for r in small.select("length").distinct().collect()) or [WINDOW]  # nine values at most
+    items = written(_items(bench, item_id, item_text, least_tokens), "items")
+    needs = [r["need"] for r in items.select("need").distinct().collect()]  # thirteen values at most
+    lengths = sorted({min(WINDOW, n) for n in needs}) or [WINDOW]
+    # A run of n tokens holds a window of WINDOW at a multiple of n - WINDOW + 1.
+    strides = {n: min([x for x in needs if x >= WINDOW], default=RUN_TOKENS) - WINDOW + 1 if n == WINDOW else 1 for n in lengths}
+    own = reduce(lambda c, n: c.when(F.least(F.lit(WINDOW), "need") == n, _windows(F.col("item_tokens"), F.col("_hashes"), n)), lengths, F.when(F.lit(False), F.array().cast("array<struct<at:int,near:bigint,h:bigint>>")))
+    found = items.withColumn("_hashes", _hashes(F.col("item_tokens"))).select("item", "named", F.explode(own).alias("_w"))
+    found = written(found.select("item", "named", F.col("_w")["at"].alias("item_at"), F.col("_w")["near"].alias("near"), F.col("_w")["h"].alias("h")), "windows")
     few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    near = lambda df: F.broadcast(df) if few else df
+    light = (items.agg(F.sum(F.size("item_tokens").cast("long"))).first()[0] or 0) <= MOST_BROADCAST_TOKENS
+    near = lambda df, small: F.broadcast(df) if small else df
 
-    sampled = [_windows(F.col("_kinds"), n, STRIDE if n == WINDOW else 1) for n in lengths]
-    hashed = docs.select("doc_id", F.transform(_tokens(F.col("text")), _kind).alias("_kinds"))
-    hashed = hashed.select("doc_id", F.explode(F.concat(*sampled)).alias("_w")).select("doc_id", F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length"))
-    hits = hashed.join(near(small), ["h", "length"], "left_semi").select(F.col("doc_id").alias("_hit")).distinct()
+    hashed = docs.select("doc_id", _tokens(F.col("text")).alias("_t"))
+    hashed = hashed.select("doc_id", *[_hashes(F.transform("_t", _read(named))).alias(f"_h{named:d}") for named in READINGS])
+    every = F.array_distinct(F.concat(*[_near(F.col(f"_h{named:d}"), n, strides[n]) for n in lengths for named in READINGS]))
+    hits = hashed.select(F.col("doc_id").alias("_hit"), F.explode(every).alias("near")).join(near(found.select("near").distinct(), few), "near", "left_semi").select("_hit").distinct()
     # Equal rows have equal results: the tokens' hash tells rows of an id apart.
     some = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").select("doc_id", _tokens(F.col("text")).alias("tokens")).withColumn("row", F.xxhash64("doc_id", "tokens"))
-    some = written(some, "suspects").dropDuplicates(["row"])
-    every = F.concat(*[_windows(F.col("_kinds"), n, 1) for n in lengths])
-    pairs = some.select("row", F.transform("tokens", _kind).alias("_kinds")).select("row", F.explode(every).alias("_w")).select("row", F.col("_w")["at"].alias("at"), F.col("_w")["h"].alias("h"), F.col("_w")["length"].alias("length")).join(near(found), ["h", "length"])
-    pairs = pairs.select("row", "item", "length", "at", (F.col("at") - F.col("item_at")).alias("shift"))
-    line = Window.partitionBy("row", "item", "shift", "length").orderBy("at")
-    runs = pairs.withColumn("_run", F.col("at") - F.row_number().over(line))
-    runs = runs.groupBy("row", "item", "shift", "length", "_run").agg(F.min("at").alias("first"), (F.count("*") + F.col("length") - 1).cast("int").alias("run_tokens"))
-    # Texts come in again for whole runs only.
-    runs = runs.join(near(items), "item").where("run_tokens >= need").join(some, "row")
-    ours, theirs = F.slice("tokens", F.col("first") + 1, F.col("run_tokens")), F.slice("item_tokens", F.col("first") - F.col("shift") + 1, F.col("run_tokens"))
-    slots = F.filter(F.zip_with(theirs, ours, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: F.substring(x["a"], 1, 1).isin(NUMBER, UNIT, NAME))
-    runs = runs.withColumn("_slots", slots)
-    consistent = F.size(F.array_distinct("_slots")) == F.size(F.array_distinct(F.transform("_slots", lambda x: x["a"])))
-    best = F.max(F.struct("run_tokens", F.size("_slots").alias("n_slots"), F.forall("_slots", lambda x: x["a"] == x["b"]).alias("verbatim")))
-    worded = 100 * F.size("_slots") <= (100 - LEAST_WORD_PERCENT) * F.col("run_tokens")
-    out = runs.where(consistent & worded).groupBy("doc_id", "item_id").agg(best.alias("_b"))
+    some = written(some, "suspects").dropDuplicates(["doc_id", "row"])
+    read = _readings(some, "tokens")
+    met = read.withColumn("_hashes", _hashes(F.col("tokens"))).select("doc_id", "row", "named", _windows_of("tokens", lengths).alias("_w"))
+    met = met.select("doc_id", "row", "named", F.col("_w")["at"].alias("at"), F.col("_w")["h"].alias("h")).join(near(found.drop("near"), few), ["named", "h"])
+    met = met.select("doc_id", "row", "named", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    # Texts come in again where they meet an item only.
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")) & (F.col("named") == F.col("_named"))
+    pairs = met.join(near(items, light), ["item", "named"]).join(read.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("named").alias("_named"), "tokens"), key)
+    skip = F.greatest(F.lit(0), -F.col("shift"))
+    n = F.greatest(F.lit(0), F.least(F.size("item_tokens") - skip, F.size("tokens") - F.col("shift") - skip))
+    pairs = pairs.select("doc_id", "item_id", "need", F.slice("item_tokens", skip + 1, n).alias("theirs"), F.slice("tokens", F.col("shift") + skip + 1, n).alias("ours"))
+    out = stretches(pairs).groupBy("doc_id", "item_id").agg(F.max(F.struct("run_tokens", "n_slots", "verbatim")).alias("_b"))
     return out.select("doc_id", "item_id", F.col("_b")["run_tokens"].alias("run_tokens"), F.col("_b")["n_slots"].alias("n_slots"), F.col("_b")["verbatim"].alias("verbatim"))
 
 

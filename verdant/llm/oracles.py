@@ -41,29 +41,41 @@ FROM c JOIN l USING (conv_id, turn) LEFT JOIN m r ON r.conv_id = c.conv_id AND r
 _UNITS = "|".join(D.UNITS)
 
 
+
 def _tokens(table: str, key: str) -> str:
     """Tokens with their slots' values; names are marked in two passes, as this engine looks behind nothing."""
     name = r"([\p{Ll}\p{Nd},;]\s)(\p{Lu}\p{Ll}+)"
-    steps = [(r"(\d)[.,](\d)", rf"\1{D.POINT}\2"), (rf"(\d[\d{D.POINT}]*)", rf" {D.NUMBER}\1 "), (rf"({D.NUMBER}[\d{D.POINT}]*)\s*(?:((?i:{_UNITS}))([^\p{{L}}\p{{N}}]|$)|([%$€£]))", rf"\1 {D.UNIT}\2\4 \3"), (name, rf"\1{D.NAME}\2"), (name, rf"\1{D.NAME}\2")]
+    initial = rf"(^|[^\p{{L}}\p{{N}}{D.NUMBER}-{D.INITIAL}%$€£])(\p{{Lu}}\p{{Ll}})"
+    unit = rf"({D.NUMBER}[\d{D.POINT}]*)\s*(?:((?i:{_UNITS}))([^\p{{L}}\p{{N}}]|$)|([%$€£]))"
+    steps = [(r"(\d)[.,](\d)", rf"\1{D.POINT}\2"), (rf"(\d[\d{D.POINT}]*)", rf" {D.NUMBER}\1 "), (unit, rf"\1 {D.UNIT}\2\4 \3"), (name, rf"\1{D.NAME}\2"), (name, rf"\1{D.NAME}\2"), (initial, rf"\1{D.INITIAL}\2")]
     text = "text"
     for pattern, by in steps:
         text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
-    return rf"SELECT {key}, list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}{D.NUMBER}-{D.POINT}%$€£]+'), lambda x: x <> '') AS ts FROM {table}"
+    return rf"SELECT {key}, list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}{D.NUMBER}-{D.INITIAL}%$€£]+'), lambda x: x <> '') AS ts FROM {table}"
 
 
 _SLOT = f"'[{D.NUMBER}{D.UNIT}{D.NAME}]'"
-_KIND = f"CASE WHEN regexp_matches(x[1], {_SLOT}) THEN x[1] ELSE x END"
 
+
+def _read(tokens: str, key: str) -> str:
+    """Both readings: words that begin a sentence as words, or as names. ks are the tokens without values."""
+    return f"""SELECT {key}, r, ts, list_transform(ts, lambda x: CASE WHEN regexp_matches(x[1], {_SLOT}) THEN x[1] ELSE x END) AS ks FROM
+ (SELECT {key}, r, list_transform(ts, lambda x: CASE WHEN x[1] <> '{D.INITIAL}' THEN x WHEN r = 0 THEN x[2:] ELSE '{D.NAME}' || x[2:] END) AS ts FROM ({tokens}), range(2) s(r))"""
+
+
+# Every window of 13 tokens (or of a shorter item's length) is judged by itself; stretches of good ones are joined.
 OP3 = f"""
-WITH d AS ({_tokens("documents", "doc_id")}), b AS (SELECT *, least({D.RUN_TOKENS}, len(ts)) AS need, CASE WHEN len(ts) >= {D.RUN_TOKENS} THEN {D.WINDOW} ELSE len(ts) END AS n FROM ({_tokens("benchmark", "item_id")}) WHERE len(ts) >= {D.LEAST_TOKENS}),
-dk AS (SELECT doc_id, list_transform(ts, lambda x: {_KIND}) AS ks FROM d), bk AS (SELECT item_id, n, list_transform(ts, lambda x: {_KIND}) AS ks FROM b),
-bw AS (SELECT item_id, n, i, array_to_string(ks[i:i + n - 1], ' ') AS w, list_bool_or(list_transform(ks[i:i + n - 1], lambda x: NOT regexp_matches(x[1], {_SLOT}))) AS worded FROM (SELECT item_id, n, ks, unnest(range(1, len(ks) - n + 2)) AS i FROM bk)),
-dw AS (SELECT doc_id, n, i, array_to_string(ks[i:i + n - 1], ' ') AS w FROM (SELECT doc_id, ks, n, unnest(range(1, len(ks) - n + 2)) AS i FROM dk, (SELECT DISTINCT n FROM bk))),
-p AS (SELECT doc_id, item_id, dw.n, dw.i, dw.i - bw.i AS shift FROM dw JOIN bw ON dw.w = bw.w AND dw.n = bw.n WHERE worded),
-r AS (SELECT doc_id, item_id, shift, min(i) AS first, count(*) + any_value(n) - 1 AS run FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, shift, n ORDER BY i) AS g FROM p) GROUP BY doc_id, item_id, shift, n, g),
-z AS (SELECT r.doc_id, r.item_id, run, list_filter(list_zip(b.ts[first - shift:first - shift + run - 1], d.ts[first:first + run - 1]), lambda x: regexp_matches(x[1][1], {_SLOT})) AS slots FROM r JOIN b USING (item_id) JOIN d USING (doc_id) WHERE run >= need),
-ok AS (SELECT doc_id, item_id, run::INT AS run_tokens, len(slots)::INT AS n_slots, len(list_filter(slots, lambda x: x[1] <> x[2])) = 0 AS verbatim FROM z WHERE len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda x: x[1]))) AND 100 * len(slots) <= {100 - D.LEAST_WORD_PERCENT} * run)
-SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY run_tokens DESC, n_slots DESC, verbatim DESC) = 1"""
+WITH d AS ({_read(_tokens("documents", "doc_id"), "doc_id")}), b AS (SELECT *, least(13, len(ts)) AS need FROM ({_read(_tokens("benchmark", "item_id"), "item_id")}) WHERE len(ts) > 0),
+bw AS (SELECT item_id, r, need, i, array_to_string(ks[i:i + need - 1], ' ') AS w, ts[i:i + need - 1] AS a FROM (SELECT *, unnest(range(1, len(ks) - need + 2)) AS i FROM b)),
+dw AS (SELECT doc_id, r, need, i, array_to_string(ks[i:i + need - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ks) - need + 2)) AS i FROM d, (SELECT DISTINCT need FROM b))),
+p AS (SELECT doc_id, item_id, r, need, dw.i, dw.i - bw.i AS shift, a FROM dw JOIN bw USING (r, need, w)),
+s AS (SELECT doc_id, item_id, r, need, i, shift, list_filter(list_zip(a, ts[i:i + need - 1]), lambda x: regexp_matches(x[1][1], {_SLOT})) AS z FROM p JOIN d USING (doc_id, r)),
+good AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, r, shift ORDER BY i) AS g FROM s
+ WHERE len(list_filter(z, lambda x: x[1] <> x[2])) = 0 OR (2 * len(z) <= need AND len(list_distinct(z)) = len(list_distinct(list_transform(z, lambda x: x[1]))))),
+runs AS (SELECT doc_id, item_id, r, shift, min(i) AS first, count(*) + any_value(need) - 1 AS run FROM good GROUP BY doc_id, item_id, r, shift, g),
+whole AS (SELECT doc_id, item_id, run, list_filter(list_zip(b.ts[first - shift:first - shift + run - 1], d.ts[first:first + run - 1]), lambda x: regexp_matches(x[1][1], {_SLOT})) AS z FROM runs JOIN b USING (item_id, r) JOIN d USING (doc_id, r))
+SELECT doc_id, item_id, run::INT AS run_tokens, len(z)::INT AS n_slots, len(list_filter(z, lambda x: x[1] <> x[2])) = 0 AS verbatim FROM whole
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY run_tokens DESC, n_slots DESC, verbatim DESC) = 1"""
 
 OP9 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS x FROM p),
