@@ -47,3 +47,18 @@ def test_nulls_and_empty(spark):
     assert run(spark, []) == []
     extra = spark.createDataFrame([(1, 0, "user", "a", "x", "y")], SCHEMA + ", json string, level string")
     assert toolcalls.link_tool_calls(extra).count() == 1
+
+
+def test_broken_and_long_texts_give_error_rows(spark):
+    schemas = {"f": {"type": "object", "properties": {"n": {"type": "integer"}, "x": {"type": "number"}}}}
+    call = lambda k, body: {"id": k, "name": "f", "arguments": body}
+    deep = "[" * 100_000 + "]" * 100_000
+    calls = [call("a", '{"n": NaN}'), call("b", '{"x": 1e999}'), call("c", '{"n": 1e3}'), call("d", deep), call("e", '{"z": ' + "[" * 300 + "]" * 300 + "}"), call("f", "-Infinity"), call("g", '{"n": ' + "9" * 5000 + "}"), call("h", '{"\\ud800": "\\udc00x"}'), call("i", {"x": "y" * 300_000})]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls})), (2, 0, "assistant", '{"tool_calls":[{"id":"\\ud800","name":"f","arguments":"{}"}]}'), (3, 0, "user", '{"tool_calls": NaN}'), (4, 0, "user", "{" * 50_000), (5, 0, "user", deep), (6, 0, "user", "w " * 500_000)]
+    got = {(r["conv_id"], r["call_id"]): r for r in run(spark, rows, schemas)}
+    bad = "arguments aren't JSON; $: not object"
+    assert {k: r["errors"] for (c, k), r in got.items() if c == 1} == {"a": bad, "b": bad, "c": "", "d": bad, "e": bad, "f": bad, "g": bad, "h": "", "i": "$.x: not number"}
+    assert got[2, "\ufffd"]["valid"] and got[3, "3-0"]["name"] == "message" and len(got[6, "6-0"]["json"]) > 1_000_000 and len(got) == 14
+    for r in got.values():
+        json.loads(r["json"], parse_constant=lambda x: 1 / 0)
+    assert json.loads(got[1, "h"]["json"])["arguments"] == {"\ufffd": "\ufffdx"}

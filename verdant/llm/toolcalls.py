@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,44 @@ SCHEMAS = {
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+#: Levels of objects and lists within each other that arguments and messages may have.
+MOST_DEPTH = 100
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Strict JSON with sorted keys; halves of surrogate pairs, which no text can hold, become U+FFFD."""
+    return whole(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def whole(text: str) -> str:
+    return _HALF.sub("\ufffd", text)
+
+
+def _number(text: str) -> float:
+    x = float(text)
+    if not math.isfinite(x):
+        raise ValueError("a number out of range")
+    return x
+
+
+def loads(text: str):
+    """The value of strict JSON; ValueError for anything else, numbers out of range and more than ``MOST_DEPTH`` levels."""
+    try:
+        value = json.loads(text, parse_constant=_number, parse_float=_number)
+    except RecursionError:
+        raise ValueError("too many levels") from None
+    level, depth = [value], 0
+    while level := [y for x in level if isinstance(x, dict | list) for y in (x.values() if isinstance(x, dict) else x)]:
+        depth += 1
+        if depth > MOST_DEPTH:
+            raise ValueError("too many levels")
+    return value
 
 
 def _is_type(value, name: str) -> bool:
     if name in ("number", "integer"):
-        return isinstance(value, int | float) and not isinstance(value, bool) and (name == "number" or value == int(value))
+        return isinstance(value, int | float) and not isinstance(value, bool) and (name == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES[name])
 
 
@@ -101,14 +133,14 @@ def _object(text: str | None) -> dict:
     if not text or not text.lstrip().startswith("{"):
         return {}
     try:
-        own = json.loads(text)
+        own = loads(text)
     except ValueError:
         return {}
     return own if isinstance(own, dict) else {}
 
 
 def _text(value) -> str | None:
-    return value if value is None or isinstance(value, str) else canonical(value)
+    return value if value is None else whole(value) if isinstance(value, str) else canonical(value)
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -163,7 +195,7 @@ def linked(found: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
             if result_turn is not None and turn is not None and result_turn < turn:
                 errors.append("answered before it was made")
             try:
-                arguments = json.loads(body) if body is not None else None
+                arguments = loads(body) if body is not None else None
             except ValueError:
                 arguments = body
                 errors.append("arguments aren't JSON")
@@ -171,8 +203,8 @@ def linked(found: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
                 errors.append("no schema")
             else:
                 errors += violations(arguments, schemas[name])
-            whole = {"after": after, "arguments": arguments, "id": call, "name": name, "result": result}
-            yield conv, turn, call, level, name, not errors, "; ".join(errors), result_turn, canonical(whole)
+            linked_call = {"after": after, "arguments": arguments, "id": call, "name": name, "result": result}
+            yield conv, turn, call, level, name, not errors, whole("; ".join(errors)), result_turn, canonical(linked_call)
 
     return map_arrow(rows, cols, LINKED, serialise)
 
@@ -180,6 +212,11 @@ def linked(found: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``linked`` calls of messages.
 
+    A text that isn't strict JSON (NaN, numbers out of range, more than
+    ``MOST_DEPTH`` levels) is a plain message, and such arguments are told as
+    no JSON; half a surrogate pair becomes U+FFFD. Texts of any length are
+    read whole.
+
     Nulls: a null conversation is one of its own; a null turn or role is no
     user's; a null text is an argument or result null. Repeated messages give
     a row each, all but none of them told apart. An empty table gives an empty
