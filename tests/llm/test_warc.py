@@ -59,7 +59,7 @@ def test_pages(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     for c in ("sha1", "path", "refers_to", "_last"):
         df = df.withColumn(c, df.page_id)
-    got = sorted((tuple(r) for r in W.read_archives(W.write_archives(df.drop("_last"), new_path(spark, "w"))).collect()), key=repr)
+    got = sorted((tuple(r) for r in W.read_archives(W.write_archives(df, new_path(spark, "w"))).collect()), key=repr)
     last = {}
     for d, _, h in rows:
         last.setdefault(h or "", []).append(d)
@@ -76,3 +76,12 @@ def test_small_payloads_do_not_revisit(spark):
     df = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "yyyy"), (4, "d", "yyyy")], SCHEMA)
     got = {r["page_id"]: r["record_type"] for r in W.read_archives(W.write_archives(df, new_path(spark, "w"), least_bytes=3)).collect()}
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
+
+
+def test_frames_without_a_content_size():
+    record = W._record("response", "u", "x", W.sha1_base32(b"hi" * 9000), 18_000, b"hi" * 9000, None)
+    stream = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    data = stream.compress(record) + stream.flush()
+    assert [p for _, p in W.read_archive(io.BytesIO(data * 2))] == [b"hi" * 9000] * 2
+    with pytest.raises(W.WarcError):
+        list(W.read_archive(io.BytesIO(data[:-1])))

@@ -144,9 +144,12 @@ def read_archive(f) -> Iterator[tuple[dict[str, str], bytes]]:
             continue
         first = False
         try:
-            data = unpack.decompress(frame)
+            whole = unpack.decompressobj()  # a frame written as a stream doesn't say its content's size
+            data = whole.decompress(frame)
         except zstandard.ZstdError as e:
             raise WarcError(f"a frame can't be decoded: {e}") from e
+        if not whole.eof or whole.unused_data:
+            raise WarcError("a frame doesn't end where its blocks do")
         fields, block = parse_record(data)
         head, cut, payload = block.partition(b"\r\n\r\n")
         if fields.get("content-type", "").startswith("application/http") and not cut:
@@ -175,6 +178,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     the largest id are responses, all others revisit them. Only the digests of
     repeated payloads are joined; payloads themselves move only if that list is
     too large to broadcast, which Spark decides by its size at run time.
+
+    Nulls: a null html is an empty payload, a null url an empty one, and a null
+    id stays so. Repeated rows have a record each. An empty table gives no
+    archive. Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -182,8 +189,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.withColumn("sha1", F.sha1("html"))
     again = rows.where(F.octet_length("html") >= least_bytes).groupBy(F.col("sha1").alias("_sha1")).agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     again = written(again, "digests")
-    sample = rows.where("html is not null").orderBy("sha1", "page_id").limit(SAMPLE_PAGES).select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()
-    words = spark.sparkContext.broadcast(dictionary([bytes(r["html"]) for r in sample]))
+    # The pages of least hash, found by their ids and URLs alone: whole pages don't travel to the driver.
+    key = F.xxhash64("page_id", "url")
+    least = [r[0] for r in rows.select(key.alias("h")).distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    sample = rows.where(key.isin(least)).groupBy(key.alias("h")).agg(F.min(F.substring("html", 1, SAMPLE_CHARS)).alias("html")).orderBy("h").collect() if least else []
+    words = spark.sparkContext.broadcast(dictionary([bytes(r["html"]) for r in sample if r["html"]]))
     marked = rows.join(again, (F.col("sha1") == F.col("_sha1")) & (F.octet_length("html") >= least_bytes), "left")
     marked = marked.select("page_id", "url", "html", F.when(F.col("_sha1").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last")).alias("refers_to"), (F.col("_sha1").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))).alias("revisit"))
 
