@@ -75,10 +75,18 @@ def test_distances_are_jensen_shannon(spark):
             assert abs(got - distance(own, ref)) < 1e-9
 
 
-def test_unknown_language_is_guessed(spark):
+def test_a_language_is_guessed_where_none_is_stated(spark):
     rows = [(1, "la maison est dans la rue et le chat dort sur les toits de la ville", None), (2, "the cat is on the roof of the house", "xx")]
     got = {r["doc_id"]: r["_lang"] for r in Q.with_histograms(Q.with_counts(documents(spark, rows))).collect()}
-    assert got == {1: "fr", 2: "en"}
+    assert got == {1: "fr", 2: None}
+
+
+def test_other_languages_are_judged_by_the_base_rules_alone(spark):
+    good, _, _ = sample()
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("あいうえおかきくけこ") for _ in range(5)) for _ in range(200))
+    got = {r["doc_id"]: (r["kept"], r["class_distance"]) for r in Q.quality(documents(spark, [*good, (9001, text, "ja"), (9002, "日本 " * 200, "ja")])).collect()}
+    assert got[9001] == (True, None) and got[9002] == (False, None)
 
 
 def test_empty_table(spark):

@@ -70,8 +70,8 @@ def _is_one_of(words: list[str]):
 def with_histograms(df: DataFrame, lang_col: str = "lang") -> DataFrame:
     """``with_counts``'s rows with _lang, _classes and _common.
 
-    _lang is the stated language, or else the one of which the text has most
-    common words. _common counts the language's common words in order and,
+    _lang is the stated language, where none is stated the one of which the
+    text has most common words, and null for one that has no list. _common counts the language's common words in order and,
     last, all other words.
     """
     odd = F.col("_odd")
@@ -86,7 +86,7 @@ def with_histograms(df: DataFrame, lang_col: str = "lang") -> DataFrame:
     lists = {k: F.array(*map(F.lit, COMMON_WORDS[k])) for k in sorted(COMMON_WORDS)}
     hits = [F.struct(F.size(F.array_intersect("_rest", lists[k])).alias("n"), F.lit(k).alias("lang")) for k in lists]
     lang = F.col(lang_col)
-    df = df.withColumn("_lang", F.when(lang.isin(*lists), lang).otherwise(F.greatest(*hits)["lang"]))
+    df = df.withColumn("_lang", F.when(lang.isin(*lists), lang).when(lang.isNull(), F.greatest(*hits)["lang"]))
     own, few = F.when(F.lit(False), F.array().cast("array<string>")), F.when(F.lit(False), F.array().cast("array<string>"))
     for k, words in lists.items():
         own = own.when(F.col("_lang") == k, words)
@@ -106,7 +106,7 @@ def references(features: DataFrame) -> dict[str, tuple[list[float], list[float]]
     """
     size = len(next(iter(COMMON_WORDS.values()))) + 1
     share = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda a, y: a + y))
-    rows = features.where((F.col("n_words") >= LEAST_WORDS) & (F.col("word_chars") >= LEAST_CHARS) & ~_base_failed()).select("_lang", share("_classes").alias("c"), share("_common").alias("w"))
+    rows = features.where(F.col("_lang").isNotNull() & (F.col("n_words") >= LEAST_WORDS) & (F.col("word_chars") >= LEAST_CHARS) & ~_base_failed()).select("_lang", share("_classes").alias("c"), share("_common").alias("w"))
     means = [F.avg(F.col("c")[i]).alias(f"c{i}") for i in range(CLASSES)] + [F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(size)]
     return {r["_lang"]: ([r[f"c{i}"] for i in range(CLASSES)], [r[f"w{i}"] for i in range(size)]) for r in rows.groupBy("_lang").agg(*means).collect()}
 
@@ -138,8 +138,9 @@ def quality(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", kee
     The counts are written once as a table, with the text if ``keep_text``;
     references and verdicts read that table, so texts are cut once.
 
-    Nulls: a null text has no words and fails; a null or unknown language
-    stands for the one of whose common words the text has most. Repeated rows
+    Nulls: a null text has no words and fails; a null language stands for the
+    one of whose common words the text has most, and a document of a language
+    without a list is judged by the base rules alone. Repeated rows
     are judged each. An empty table gives an empty result. An input column of
     a result's name is replaced by the result; all others may have any names.
     """
