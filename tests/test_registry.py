@@ -130,5 +130,5 @@ def test_linked_keys(spark):
     rows = spark.createDataFrame([(None,), (1,), (2,)], "k int")
     assert rows.where(L.matches("k", [1])).count() == 2 and rows.where(L.matches("k", [])).count() == 1 and rows.where(L.matches("k", None)).count() == 3
     a = spark.createDataFrame([(["x", "y"], [1, 5])], "v array<string>, i array<int>")
-    assert a.select(L.subset("v", "i"), L.recycled("v", F.lit(3)), L.matches_all("v", ["x"])).first()[:] == (["x", None], "y", False)
+    assert a.select(L.subset("v", "i"), L.recycled("v", F.lit(3)), L.matches_all("v", ["x"])).first()[:] == (["y", None], "y", False)
     assert a.select(L.rows_of({"a": F.col("v"), "b": F.col("i")}).alias("r")).first()["r"][1].asDict() == {"a": "y", "b": 5}

@@ -13,8 +13,8 @@ def values(spark, xs, f, kind="string"):
 
 
 CASES = [
-    (T.is_filled, [None, "", " \t\r\n", " ", "a"], [False, False, False, True, True]),
-    (T.blank_to_null, [None, " ", "  ", " a \t\n b "], [None, None, None, "a b"]),
+    (T.is_filled, [None, "", " \t\r\n", "\xa0", "a"], [False, False, False, True, True]),
+    (T.blank_to_null, [None, " ", "\xa0 ", " a\xa0\t\n b "], [None, None, None, "a b"]),
     (T.sentence_case, ["PAU BRASIL", "ábc DE", "", None], ["Pau brasil", "Ábc de", "", None]),
     (T.slug, ["Rio Cuieiras/2", "--", "São João!", None], ["rio-cuieiras-2", "", "sao-joao", None]),
     (T.photo_file, ["Ana Lúcia Sá"], ["ana_lucia_sa.jpg"]),
@@ -29,7 +29,7 @@ CASES = [
     (R.clean_ref, [" 'a%20b.png?v=1' ", "a+b#x", "%zz", None], ["a b.png", "a+b", "%zz", None]),
     (R.fold_path, ["a/b/../c", "/a/./b//", "../../x", None], ["a/c", "a/b", "x", None]),
     (R.extension, ["a/b.PNG", "a.b/c", "x"], ["png", "", ""]),
-    (lambda c: R.clean_folder(c, ("_in/fotos",)), [" .//a b/", "\\x\\y\\", "_in/fotos/z", " ", None], ["a b", "x/y", "z", None, None]),
+    (lambda c: R.clean_folder(c, ("_in/fotos",)), [" .//a\xa0b/", "\\x\\y\\", "_in/fotos/z", "\xa0", None], ["a b", "x/y", "z", None, None]),
     (lambda c: R.route(c, {"/a/": "/en/a/", "/": "/en/"}), ["//a/index.html", "", None, "/en/x", "/b"], ["/en/a/", "/en/", "/en/", "/", "/en/"]),
     (R.up_prefix, ["index.html", "a/b.html", "a/b/c.html"], ["", "../", "../../"]),
 ]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verdant.functions import refs as R
 from verdant.functions import text as T
@@ -83,8 +82,9 @@ def unused(paths: DataFrame, refs: DataFrame, path: str = "path", target: str =
 
 def case_duplicates(paths: DataFrame, path: Column | str = "path") -> DataFrame:
     """All rows whose lower-case path another row has too."""
-    lower = F.lower(path)
-    return paths.withColumn("lower_path", lower).withColumn("_n", F.count("*").over(Window.partitionBy("lower_path"))).where("_n > 1").drop("_n")
+    rows = paths.withColumn("lower_path", F.lower(path))
+    again = rows.groupBy(F.col("lower_path").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    return rows.join(again, F.col("lower_path").eqNullSafe(F.col("_again")), "left_semi")
 
 
 def large(inventory: DataFrame, size: str = "size_mb", most: float = LARGE_MIB) -> DataFrame:

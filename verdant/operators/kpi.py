@@ -1,8 +1,8 @@
 """Indicators of a catalog: counts, new species, balances, yearly series, richness, species lists.
 
 A catalog here has the columns source, group, taxonRank, is_species_level,
-species_key, genus, family, year, has_coordinates. All panels come from one
-grouped aggregation instead of a pass per panel.
+species_key, genus, family, year, has_coordinates. The panels come from one
+grouped aggregation of the catalog instead of a pass per panel.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant.functions import text as T
-from verdant.operators.catalog import species_level
 
 
 def _usable(groups: list[str] | None) -> Column:
@@ -23,18 +22,30 @@ def _species(groups: list[str] | None) -> Column:
     return F.when(_usable(groups), F.col("species_key"))
 
 
-def _measures(project: str, groups: list[str] | None) -> list[Column]:
+def _counts(df: DataFrame, groups: list[str] | None) -> DataFrame:
+    """Records by all that the panels count distinct values of: one scan of the catalog with map-side sums, for all panels."""
+    keys = ["group", "source", _species(groups).alias("species"), T.blank_to_null("genus").alias("genus"), T.blank_to_null("family").alias("family")]
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("has_coordinates").alias("n_placed"))
+
+
+def _measures(project: str) -> list[Column]:
+    records = lambda own: F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0))
     return [
-        F.count("*").alias("n_records"),
-        F.count_if(F.col("source") == project).alias("n_project"),
-        F.count_if(F.col("source") != project).alias("n_historical"),
-        F.countDistinct(_species(groups)).alias("n_species"),
-        F.countDistinct(T.blank_to_null("genus")).alias("n_genera"),
-        F.countDistinct(T.blank_to_null("family")).alias("n_families"),
-        F.count_if("has_coordinates").alias("n_georeferenced"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"),
+        records(F.col("source") == project).alias("n_project"),
+        records(F.col("source") != project).alias("n_historical"),
+        F.countDistinct("species").alias("n_species"),
+        F.countDistinct("genus").alias("n_genera"),
+        F.countDistinct("family").alias("n_families"),
+        F.coalesce(F.sum("n_placed"), F.lit(0)).alias("n_georeferenced"),
     ]
 
 
+def _new(counts: DataFrame, project: str, by: list[str]) -> DataFrame:
+    seen = counts.where("species is not null").groupBy(*by, "species").agg(F.bool_or(F.col("source") == project).alias("ours"), F.bool_or(F.col("source") != project).alias("theirs"))
+    return seen.where("ours and not coalesce(theirs, false)").groupBy(*by).agg(F.count("*").alias("n_new_species"))
+
+
 def new_species(df: DataFrame, project: str, by_group: bool = False, groups: list[str] | None = None) -> DataFrame:
     """Distinct keys of the project that no historical record has, overall or within each group.
 
@@ -49,14 +60,16 @@ def new_species(df: DataFrame, project: str, by_group: bool = False, groups: lis
 
 def overall(df: DataFrame, project: str, groups: list[str] | None = None) -> DataFrame:
     """The general panel: one row of counts, new species included."""
-    new = new_species(df, project, False, groups).agg(F.count("*").alias("n_new_species"))
-    return df.agg(*_measures(project, groups)).crossJoin(F.broadcast(new))  # one row each
+    counts = _counts(df, groups)
+    return counts.agg(*_measures(project)).crossJoin(F.broadcast(_new(counts, project, [])))  # one row each
 
 
 def by_group(df: DataFrame, project: str, groups: list[str] | None = None) -> DataFrame:
     """A panel per group; a species new to its group may be known from another, so these don't add up to the general panel."""
-    new = new_species(df, project, True, groups).groupBy("group").agg(F.count("*").alias("n_new_species"))
-    return df.groupBy("group").agg(*_measures(project, groups)).join(new, "group", "left").withColumn("n_new_species", F.coalesce("n_new_species", F.lit(0)))
+    counts = _counts(df, groups)
+    new = _new(counts, project, ["group"]).withColumnRenamed("group", "_group")
+    panels = counts.groupBy("group").agg(*_measures(project)).join(new, F.col("group").eqNullSafe(F.col("_group")), "left").drop("_group")
+    return panels.withColumn("n_new_species", F.coalesce("n_new_species", F.lit(0)))
 
 
 def resolution(rank: Column | str, labels: tuple[str, str, str, str] = ("species", "genus", "family", "other")) -> Column:
@@ -103,8 +116,3 @@ def species_list(df: DataFrame, project: str | None = None, groups: list[str] |
         new = new_species(df, project, False, groups).select(F.lower(T.squish("species_key")).alias("_new")).distinct()
         out = out.join(new, F.lower("species") == F.col("_new"), "left").withColumn("is_new", F.col("_new").isNotNull()).drop("_new")
     return out.orderBy("family", "species")
-
-
-def records(df: DataFrame) -> DataFrame:
-    """The species-level records themselves."""
-    return species_level(df)

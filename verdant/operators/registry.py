@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verdant.functions import refs as R
 from verdant.functions import text as T
@@ -39,21 +38,38 @@ MEDIA_LABELS = {"instagram": "Instagram", "reportagem": "Reportagem", "youtube":
 PALETTE = ["#A93632", "#59602F", "#D99A27", "#626A38", "#6B4E9B", "#2F6F83", "#C46A2A", "#8A3D3B"]
 
 
+def numbered(df: DataFrame, out: str, *order: Column | str) -> DataFrame:
+    """``df`` with its rows' numbers, from 1, in an order; no task gets more than its range of the order.
+
+    The rows are sorted by range, each range is counted, and a row's number is
+    its place in the range after the ranges before. The order should be total.
+    """
+    rows = df.orderBy(*order).pandas_api().to_spark(index_col=out)
+    return rows.withColumn(out, F.col(out) + 1).select(*df.columns, out)
+
+
+def placed(df: DataFrame, out: str, key: str, *order: Column | str) -> DataFrame:
+    """``df`` with the places, from 0, of its rows among those of the same key (null is one); a key of any size spreads over tasks."""
+    rows = numbered(df, "_place_number", F.asc_nulls_first(key), *order)
+    first = rows.groupBy(F.col(key).alias("_place_key")).agg(F.min("_place_number").alias("_place_first"))
+    return rows.join(first, F.col(key).eqNullSafe(F.col("_place_key"))).withColumn(out, F.col("_place_number") - F.col("_place_first")).drop("_place_number", "_place_key", "_place_first")
+
+
 def unique_slugs(df: DataFrame, name: str, pos: str, out: str = "slug") -> DataFrame:
     """Slugs, repeated ones with -1, -2 … in row order, the first plain.
 
-    A made slug that some row has of itself gets the next free number: taken
-    numbers are looked up in the set of plain slugs by an equi-join per number.
+    A made slug that some row has of itself gets the next free number. Rows of
+    a slug and the numbers that are taken, each at the count of free numbers
+    before it, are put into one order: a row's place there is its number.
     """
-    base = df.withColumn("_base", T.slug(name))
-    plain = base.select(F.col("_base").alias("_stem_full")).distinct()
-    stem = plain.select(F.regexp_extract("_stem_full", r"^(.*)-(\d{1,9})$", 1).alias("_stem"), F.regexp_extract("_stem_full", r"^(.*)-(\d{1,9})$", 2).alias("_digits"))
-    stem = stem.where("_digits = '0' or _digits rlike '^[1-9]'").where("_stem <> '' and _digits <> ''").groupBy("_stem").agg(F.array_sort(F.collect_set(F.col("_digits").cast("int"))).alias("_taken"))
-    numbered = base.withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(pos)) - 1)
-    numbered = numbered.join(stem, F.col("_base") == F.col("_stem"), "left")
-    # The n-th free number: skip taken ones in ascending order.
-    free = F.aggregate(F.filter(F.coalesce("_taken", F.array().cast("array<int>")), lambda t: t > 0), F.col("_n"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
-    return numbered.withColumn(out, F.when(F.col("_n") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), free.cast("string")))).drop("_base", "_n", "_stem", "_taken")
+    based = df.withColumn("_base", T.slug(name))
+    parts = lambda k: F.regexp_extract("_full", r"^(.+)-([1-9]\d{0,8})$", k)
+    taken = based.select(F.col("_base").alias("_full")).distinct().select(parts(1).alias("_base"), parts(2).cast("string").alias("_t")).where("_t <> ''")
+    taken = placed(taken.withColumn("_t", F.col("_t").cast("long")), "_i", "_base", "_t")
+    gaps = taken.select("_base", (F.col("_t") - F.col("_i") - 1).alias("_n"), F.lit(1).alias("_taken"))
+    rows = placed(based, "_n", "_base", pos).withColumn("_taken", F.lit(0)).unionByName(gaps, allowMissingColumns=True)
+    rows = placed(rows, "_number", "_base", "_n", "_taken").where("_taken = 0")
+    return rows.withColumn(out, F.when(F.col("_n") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_number").cast("string")))).drop("_base", "_n", "_taken", "_number")
 
 
 def expeditions(df: DataFrame, pos: str, default_name: str = "Expedição", folder_prefixes: tuple[str, ...] = ()) -> DataFrame:
@@ -65,8 +81,8 @@ def expeditions(df: DataFrame, pos: str, default_name: str = "Expedição", fold
     found = {k: pick(df.columns, v, k in ("latitude", "longitude")) for k, v in EXPEDITION_COLUMNS.items()}
     get = lambda k: column(df, found[k]).cast("string") if found[k] else F.lit(None).cast("string")
     rows = df.select(F.col(pos).alias("pos"), T.to_number(get("latitude")).alias("latitude"), T.to_number(get("longitude")).alias("longitude"), *[get(k).alias(k) for k in EXPEDITION_COLUMNS if k not in ("latitude", "longitude")])
-    index = F.row_number().over(Window.orderBy("pos"))  # a registry is small: one task numbers it
-    rows = rows.withColumn("name", F.when(T.is_filled("name"), F.col("name")).otherwise(F.concat(F.lit(f"{default_name} "), index.cast("string"))))
+    rows = numbered(rows, "_index", "pos")
+    rows = rows.withColumn("name", F.when(T.is_filled("name"), F.col("name")).otherwise(F.concat(F.lit(f"{default_name} "), F.col("_index").cast("string")))).drop("_index")
     missing = rows.where(~T.is_filled("id"))
     made = unique_slugs(missing, "name", "pos", "_made").select(F.col("pos").alias("_pos"), "_made")
     rows = rows.join(made, F.col("pos") == F.col("_pos"), "left").withColumn("id", F.coalesce("_made", "id")).drop("_pos", "_made")
@@ -79,7 +95,7 @@ def expeditions(df: DataFrame, pos: str, default_name: str = "Expedição", fold
 def palette(df: DataFrame, name: str, pos: str, colours: list[str] = PALETTE) -> DataFrame:
     """``df`` with a colour by the order in which its names first appear, over and over through the palette."""
     first = df.groupBy(name).agg(F.min(pos).alias("_first"))
-    ranked = first.select(F.col(name).alias("_name"), (F.row_number().over(Window.orderBy("_first")) - 1).alias("_rank"))
+    ranked = numbered(first.withColumnRenamed(name, "_name"), "_rank", "_first").select("_name", (F.col("_rank") - 1).alias("_rank"))
     table = F.array(*map(F.lit, colours))
     return df.join(ranked, F.col(name).eqNullSafe(F.col("_name"))).withColumn("colour", F.get(table, F.pmod("_rank", F.lit(len(colours))))).drop("_name", "_rank")
 
@@ -146,7 +162,7 @@ def media_order(df: DataFrame, default_title: str = "—") -> DataFrame:
     """Newest first, undated as 1900-01-01, ties in reverse row order; blank titles get the default; position counts from 1."""
     when = F.coalesce(T.to_date("date_text"), F.lit("1900-01-01").cast("date"))
     rows = df.withColumn("title", F.when(T.is_filled("title"), F.col("title")).otherwise(default_title)).withColumn("_when", when)
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("_when"), F.desc("pos")))).drop("_when").orderBy("position")
+    return numbered(rows, "position", F.desc("_when"), F.desc("pos")).drop("_when").withColumn("position", F.col("position").cast("int")).orderBy("position")
 
 
 def media_label(kind: Column | str) -> Column:

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verdant.functions import refs as R
 from verdant.functions import text as T
@@ -286,7 +285,8 @@ def palette_cycle(spark, sf_dir):
 def institution_order(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("group"), F.col("c_nationkey").alias("order"), F.col("c_name").alias("name"))
     ordered = G.institution_order(df, ["BUILDING", "AUTOMOBILE"])
-    return ordered.select("c_custkey", F.row_number().over(Window.orderBy("place", F.asc_nulls_last("order"), F.expr("collate(name, 'UNICODE')"))).alias("position"))
+    rows = G.numbered(ordered, "position", "place", F.asc_nulls_last("order"), F.expr("collate(name, 'UNICODE')"))
+    return rows.select("c_custkey", F.col("position").cast("int"))
 
 
 @query(
@@ -316,7 +316,7 @@ def media_order(spark, sf_dir):
 
 @query("WITH n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS position FROM customer), m AS (SELECT CAST(ceil(count(*) / 3.0) AS INT) AS n_pages FROM n) SELECT c_custkey, CAST((position - 1) // 3 AS INT) AS page, n_pages, CAST(((position - 1) // 3 + 1) % n_pages AS INT) AS next_page FROM n, m")
 def carousel_pages(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").withColumn("position", F.row_number().over(Window.orderBy("c_custkey")))
+    rows = G.numbered(table(spark, sf_dir, "customer").select("c_custkey"), "position", "c_custkey")
     return G.pages_of(rows, "position", 3).select("c_custkey", "page", "n_pages", "next_page")
 
 
