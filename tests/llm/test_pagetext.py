@@ -92,3 +92,58 @@ def test_a_teaser_card_is_not_the_page(spark):
     body = "This is the long body of the page, which is in no article at all."
     page = f"<body><p>{body}</p><article><p>See this too</p></article></body>"
     assert [r["text"] for r in P.main_text(spark.createDataFrame([(1, "http://h/a", page)], SCHEMA)).collect()] == [f"{body}\n\nSee this too"]
+
+
+def brute(rows):
+    """The whole query in plain Python: neighbours by a sort of all places, lines of any longest common subsequence that the operator may take."""
+    parsed = []
+    for key, url, page in rows:
+        found = P.lines(page or "")
+        parsed.append((key, P._place(url or ""), [t for t, _, _ in found], found))
+    places = sorted({(*place, tuple(texts)) for _, place, texts, _ in parsed}, key=lambda x: (x[0].encode(), x[1].encode(), P._signed(P.xxhash.xxh64_intdigest(",".join(str(P._signed(P.xxhash.xxh64_intdigest(t))) for t in x[2])))))
+    at = {x: i for i, x in enumerate(places)}
+    out = []
+    for key, place, texts, found in parsed:
+        i = at[(*place, tuple(texts))]
+        near = [places[j] for j in (i - 1, i + 1) if 0 <= j < len(places) and places[j][0] == place[0] and list(places[j][2]) != texts]
+        shared = set()
+        if near:
+            alike = lambda n: len(__import__("os").path.commonprefix([n[1], place[1]]))
+            shared = set(P.common_lines(texts, list(max(near, key=alike)[2])))
+            assert len(shared) == lcs(texts, list(max(near, key=alike)[2]))
+        left = [k for k, (_, _, bad) in enumerate(found) if not bad]
+        main = [k for k in left if found[k][1]]
+        sentence = lambda k, n: P.SENTENCE.search(texts[k]) and len(texts[k].split()) >= n
+        body = sum(len(texts[k]) for k in left if not found[k][1] and sentence(k, 8))
+        keep = main if main and body <= sum(len(texts[k]) for k in main) else left
+        article = [k for k in keep if found[k][1]]
+        copy = 2 * sum(len(texts[k]) for k in article if k in shared and sentence(k, 4)) > sum(len(texts[k]) for k in article)
+        kept = []
+        for n, k in enumerate(keep):
+            alone = all(0 <= m < len(keep) and keep[m] not in shared for m in (n - 1, n + 1))
+            if k not in shared or (found[k][1] and (copy or sentence(k, 4) or (sentence(k, 1) and alone))):
+                kept.append(texts[k])
+        out.append((key, "\n\n".join(kept), len(shared) if near else len(shared)))
+    return sorted(out, key=repr)
+
+
+def test_the_whole_query_against_brute_force_and_without_alignment(spark, monkeypatch):
+    rng = random.Random(11)
+    bits = ["Menu", "Home page", "Read on.", "Yes.", "No.", "A sentence of five words.", "Another sentence of many more words than that one has.", "Print", "One", "Two"]
+    rows = []
+    for i in range(150):
+        lines = [rng.choice(bits) if rng.random() < 0.6 else f"Own line {rng.randrange(9)}" + rng.choice(["", "."]) for _ in range(rng.randint(0, 9))]
+        cut = rng.randint(0, len(lines))
+        page = "<body><nav><p>Nav</p></nav>" + "".join(f"<p>{x}</p>" for x in lines[:cut]) + rng.choice(["<article>", "<div>"]) + "".join(f"<p>{x}</p>" for x in lines[cut:])
+        rows.append((i, f"http://h{rng.randrange(4)}.org/{rng.choice('ab')}/{rng.randrange(60)}", page))
+    rows += [(200, "http://h1.org/a/5", rows[0][2]), (7, *rows[7][1:]), (None, None, rows[3][2]), (201, "http://long.org/a", bare([f"line {i}" for i in range(20_000)])), (202, "http://long.org/b", bare([f"line {i * 2}" for i in range(20_000)]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows)
+    for parts in (1, 4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = sorted(((r["page_id"], r["text"]) for r in P.main_text(df.repartition(3)).collect()), key=repr)
+        assert got == sorted([(k, t) for k, t, _ in want], key=repr)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    monkeypatch.setattr(P, "shared_lines", lambda places: places.selectExpr("host", "path", "same", "cast(array() as array<int>) as shared"))
+    off = dict(((r["page_id"], r["text"]) for r in P.main_text(df).collect()))
+    assert sum(off[k] != t for k, t, _ in want) > 50  # the alignment decides

@@ -9,7 +9,7 @@ notices, adverts, forms and comments go by their markup alone, shared or not.
 
 Only line hashes travel to the neighbour. Rows are range-partitioned by host
 and path, so a host of any size spreads over tasks; the first and last row of
-each range, two per task, meet their outer neighbours in a second step.
+each range, two per task, are joined with their outer neighbours in a second step.
 """
 
 from __future__ import annotations
@@ -287,21 +287,26 @@ def shared_lines(places: DataFrame) -> DataFrame:
             yield _near_batch(out)
 
     def outer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        out = []
-        for k, (host, path, same, _, part, last, hashes, *near) in enumerate(rows):
-            row, own = (host, path, same, hashes), tuple(near) if near[0] is not None else None
-            edge = lambda r: (r[0], r[1], r[2], r[6])
-            alone = not last and own is None
-            before = own if last else edge(rows[k - 1]) if k else None
-            after = own if not last and not alone else edge(rows[k + 1]) if k + 1 < len(rows) else None
-            out.append((host, path, same, nearest_shared(row, before, after), part, last, None, None, None, None, None))
-        if out:
-            yield _near_batch(out)
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                out = []
+                for host, path, same, _, part, last, hashes, *more in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
+                    near, before, after = (tuple(x) if x[0] is not None else None for x in (more[:4], more[4:8], more[8:]))
+                    before, after = (near, after) if last else (before, near or after)
+                    out.append((host, path, same, nearest_shared((host, path, same, hashes), before, after), part, last, None, None, None, None, None))
+                yield _near_batch(out)
 
     order = ["host", "path", "same"]
     near = written(places.select(*order, "hashes").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(inner, _NEAR), "near")
-    edges = near.where("part is not null").repartition(1).sortWithinPartitions("part", "last").mapInArrow(outer, _NEAR)
+    # The first and the last row of each range, or its only one, meet the neighbours in the ranges before and after.
+    edges = near.where("part is not null")
+    parts = [r["part"] for r in edges.select("part").distinct().orderBy("part").collect()]  # a number for each task
+    steps = places.sparkSession.createDataFrame(list(zip(parts, parts[1:], strict=False)), "_from int, _to int")
+    side = lambda name: [F.col(x).alias(f"{name}_{x}") for x in (*order, "hashes")]
+    before = edges.where("last or near_host is null").join(steps, F.col("part") == F.col("_from")).select(F.col("_to").alias("_before"), *side("before"))
+    after = edges.where("not last").join(steps, F.col("part") == F.col("_to")).select(F.col("_from").alias("_after"), *side("after"))
+    met = edges.join(before, F.col("part") == F.col("_before"), "left").join(after, F.col("part") == F.col("_after"), "left").drop("_before", "_after")
+    edges = met.mapInArrow(outer, _NEAR)
     return near.where("part is null").unionByName(edges).select(*order, "shared")
 
 
