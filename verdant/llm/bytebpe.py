@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm.shared import map_arrow
 
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP = 1 << 12, 1 << 8
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
