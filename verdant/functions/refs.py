@@ -78,7 +78,7 @@ def mebibytes(x: Column | str) -> Column:
 
 def clean_folder(x: Column | str, prefixes: tuple[str, ...] = ()) -> Column:
     """A folder name: no-break spaces and backslashes made plain, ``./``, outer slashes and known prefixes off; blank is null."""
-    out = F.trim(F.replace(_c(x), F.lit(" "), F.lit(" ")))
+    out = F.trim(F.replace(_c(x), F.lit("\xa0"), F.lit(" ")))
     out = F.regexp_replace(F.replace(out, F.lit("\\"), F.lit("/")), r"^\./+", "")
     out = F.regexp_replace(out, "^/+|/+$", "")
     for p in prefixes:
@@ -86,6 +86,11 @@ def clean_folder(x: Column | str, prefixes: tuple[str, ...] = ()) -> Column:
     return F.nullif(out, F.lit(""))
 
 
+def under_root(x: Column | str, root: str) -> Column:
+    """A path with plain slashes, without a root folder that it begins with."""
+    return F.regexp_replace(F.replace(_c(x), F.lit("\\"), F.lit("/")), f"^{re.escape(root)}/?", "")
+
+
 def clean_route(x: Column | str) -> Column:
     """Single slashes, no index.html, a slash at the end."""
     out = F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(_c(x), F.lit("")), F.lit("/")), "/+", "/"), r"index\.html$", "")

@@ -521,3 +521,42 @@ def expeditions(spark, sf_dir):
 def team_registry(spark, sf_dir):
     df = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("concat(' S-', s_suppkey % 3)").alias("Nome"), F.col("s_name").alias("e mail"))
     return G.team(df, "s_suppkey", ["S 1"]).select("s_suppkey", "member_key", "first_letter", "photo_file", "team_role", "email")
+
+
+_GROUPED = "SELECT o_orderkey, o_orderpriority AS \"group\" FROM orders"
+
+
+@query(f"SELECT 'all' AS asked, \"group\", count(*) AS n FROM ({_GROUPED}) GROUP BY ALL UNION ALL SELECT 'one', \"group\", count(*) FROM ({_GROUPED}) WHERE \"group\" = '1-URGENT' GROUP BY ALL")
+def optional_group(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("group"))
+    parts = [C.of_group(df, g).groupBy("group").agg(F.count("*").alias("n")).select(F.lit(asked).alias("asked"), "group", "n") for asked, g in (("all", None), ("one", "1-URGENT"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT o_orderkey, round_even(o_orderkey / 64.0::DOUBLE, 5) AS rounded FROM orders")
+def rounded_coords(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.round5(F.col("o_orderkey") / F.lit(64.0)).alias("rounded"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'jpg' WHEN 1 THEN 'gz' ELSE '' END AS ext, o_orderkey / 1048576.0::DOUBLE AS mib FROM orders")
+def sized_files(spark, sf_dir):
+    path = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'img/a.JPG' WHEN 1 THEN 'data/b.tar.gz' ELSE 'README' END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.extension(path).alias("ext"), R.mebibytes("o_orderkey").alias("mib"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'docs/' WHEN 1 THEN '/other/' ELSE 'docs/sub/' END || c_name AS path FROM customer")
+def paths_under_root(spark, sf_dir):
+    path = F.expr(r"concat(CASE c_custkey % 3 WHEN 0 THEN '/srv/a.b+c/docs/' WHEN 1 THEN '/other/' ELSE '\\srv\\a.b+c\\docs\\sub\\' END, c_name)")
+    return table(spark, sf_dir, "customer").select("c_custkey", R.under_root(path, "/srv/a.b+c").alias("path"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN NULL ELSE 'trip ' || c_custkey END AS folder FROM customer")
+def clean_folders(spark, sf_dir):
+    name = F.expr(r"CASE c_custkey % 4 WHEN 0 THEN concat('./photos/trip\u00a0', c_custkey, '/') WHEN 1 THEN concat('\\photos\\trip ', c_custkey) WHEN 2 THEN concat('\u00a0trip ', c_custkey, '//') ELSE ' / ' END")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.trim(R.clean_folder(name, ("photos",))).alias("folder"))
+
+
+@query("SELECT c_custkey, 'a,' || c_custkey AS first_part, 'b' AS last_part, 2 AS n_parts FROM customer")
+def split_escaped_parts(spark, sf_dir):
+    parts = R.split_escaped(F.concat(F.lit("a\\,"), F.col("c_custkey").cast("string"), F.lit(",b")), ",")
+    return table(spark, sf_dir, "customer").select("c_custkey", parts[0].alias("first_part"), F.element_at(parts, -1).alias("last_part"), F.size(parts).alias("n_parts"))
