@@ -83,4 +83,22 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS last, list_transform(range
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v[1 + i // 4] >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM m"""
 
-ORACLE_SQL = {"op2_tool_calls": OP2, "op3_decontaminate": OP3, "op9_warc": OP9, "op10_quality_rules": OP10}
+def _op13(clusters: int = 40, rounds: int = 5) -> str:
+    """Rounds written out; a centroid without vectors is carried over."""
+    distance = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    near = "SELECT v.rid, min({{'d': " + distance + ", 'k': c.k}}) AS b FROM v, c{0} c GROUP BY 1"
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS k, q FROM v QUALIFY k < {clusters})"""]
+    for n in range(rounds):
+        steps.append(f"""a{n} AS MATERIALIZED ({near.format(n)}),
+s{n} AS (SELECT k, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT b.k AS k, unnest(q) AS x, generate_subscripts(q, 1) AS j FROM a{n} JOIN v USING (rid)) GROUP BY 1, 2),
+c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{n} c LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS q FROM s{n} GROUP BY 1) m USING (k))""")
+    return "WITH " + ", ".join(steps) + f""",
+last AS MATERIALIZED ({near.format(rounds)})
+SELECT vec_id, b.k::INTEGER AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.k))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM last JOIN v USING (rid) JOIN c{rounds} c ON c.k = b.k
+"""
+
+
+ORACLE_SQL = {"op2_tool_calls": OP2, "op3_decontaminate": OP3, "op9_warc": OP9, "op10_quality_rules": OP10, "op13_centroids": _op13()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdant.llm import bytebpe, decontaminate, pagetext, quality, repeats, secrets, simhash, tokenfile, toolcalls, warc
+from verdant.llm import bytebpe, centroids, decontaminate, pagetext, quality, repeats, secrets, simhash, tokenfile, toolcalls, warc
 
 from verdant.llm.oracles import ORACLE_SQL
 
@@ -19,4 +19,5 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op13_centroids": centroids.op13_centroids,
 }
