@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,8 +39,8 @@ def _window(least: int, periods: int) -> int:
 
 def numbered(words: list[bytes]) -> np.ndarray:
     """Equal words get equal numbers."""
-    seen: dict[bytes, int] = {}
-    return np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    numbers = dict(zip(dict.fromkeys(words), count()))  # noqa: B905
+    return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
 
 
 def _stretches(ids: np.ndarray, width: int) -> Iterator[tuple[int, int]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdant.llm import bytebpe, centroids, decontaminate, pagetext, periodic, quality, repeats, secrets, simhash, tokenfile, toolcalls, warc
+from verdant.llm import bytebpe, centroids, decontaminate, pagetext, periodic, personal, quality, repeats, secrets, simhash, tokenfile, toolcalls, warc
 
 from verdant.llm.oracles import ORACLE_SQL
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_personal": personal.op11_personal,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_centroids": centroids.op13_centroids,
 }
