@@ -48,7 +48,7 @@ def shape(t):
     return "".join(out)
 
 
-def brute(rows):
+def brute(rows, contexts=P.LEAST_CONTEXTS):
     n_t, n_g, n_ct, n_cg, around, docs = Counter(), Counter(), Counter(), Counter(), defaultdict(set), []
     for key, text in rows:
         text = text or ""
@@ -82,7 +82,7 @@ def brute(rows):
     bad = {}
     for (kind, value, t), n in n_ct.items():
         c = kind, value
-        if len(around[kind, value, t]) >= P.LEAST_CONTEXTS and n_c[c] < n_all and share(c, n, n_t[t]) >= P.MOST_DISCLOSED:
+        if len(around[kind, value, t]) >= contexts and n_c[c] < n_all and share(c, n, n_t[t]) >= P.MOST_DISCLOSED:
             bad[kind, value, t] = share(c, n_cg[kind, value, shape(t)], n_g[shape(t)]) >= P.MOST_DISCLOSED
     out = []
     for key, spans, words, named in docs:
@@ -120,8 +120,10 @@ def collected(df):
 
 def test_against_plain_counts(spark):
     rows = corpus() + [r for r in odd_rows() if len(r[1] or "") < 20_000]
-    got = collected(P.found(with_clashing_columns(documents(spark, rows)).repartition(5)))
-    assert got == brute(rows)
+    df = with_clashing_columns(documents(spark, rows)).repartition(5)
+    assert collected(P.found(df)) == brute(rows)
+    got = collected(P.found(df, contexts=3))
+    assert got == brute(rows, 3)
     spans = {r[0]: r[-1] for r in got}
     assert "general:" in spans[1001] and spans[1000] == "" and spans[1002] == ""
     assert spans[1001].count("general:") == 4  # all places in the document, not those near the address only
@@ -131,8 +133,10 @@ def test_copies_are_no_evidence(spark):
     rng = random.Random(2)
     text = f"{prose(rng, 40)} unseen words about bob@site.example.org unheard {prose(rng, 40)}"
     rows = [(i, text) for i in range(50)] + [(100 + i, prose(rng, 60)) for i in range(50)]
-    got = collected(P.found(documents(spark, rows)))
-    assert got == brute(rows) and all("general" not in r[-1] and "removed" not in r[-1] for r in got)
+    assert "unseen" in P.sanitised(documents(spark, rows), contexts=2).where("doc_id = 0").first()["text"]
+    assert "unseen" not in P.sanitised(documents(spark, rows)).where("doc_id = 0").first()["text"]
+    got = collected(P.found(documents(spark, rows), contexts=2))
+    assert got == brute(rows, 2) and all("general" not in r[-1] and "removed" not in r[-1] for r in got)
 
 
 TEXTS = [
@@ -165,7 +169,7 @@ def test_long_texts_take_linear_time():
 def test_sanitised(spark):
     rows = corpus()
     docs = with_clashing_columns(documents(spark, rows))
-    out = P.sanitised(docs)
+    out = P.sanitised(docs, contexts=3)
     assert out.columns == docs.columns and out.count() == len(rows)
     text = {r["doc_id"]: r["text"] for r in out.select("doc_id", "text").collect()}
     assert text[1001].startswith("see [a0a] and [a0] or [IP] by [a0a], far ") and text[1002] == "Quietlake1 without the address" and text[1000] == "clean words only"

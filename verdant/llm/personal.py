@@ -4,10 +4,10 @@ Each distinct address, number or card that a base pattern finds is a protected
 entity c of information IC(c) = -log2 p(c). A term t within ``WINDOW`` words of
 it discloses PMI(c; t) = log2 p(c, t) / (p(c) p(t)) bits of that, as counted over
 the words of all documents. A term that discloses at least ``MOST_DISCLOSED`` of
-IC(c), in at least ``LEAST_CONTEXTS`` different surroundings, is sanitised in the
-documents that name c near it: generalised to its shape, or removed where the
-shape itself discloses too much. Copies of a passage are one surrounding, so they
-alone are no evidence.
+IC(c) is sanitised in the documents that name c near it: generalised to its
+shape, or removed where the shape itself discloses too much. A name stands beside
+its address once in most corpora, so one surrounding is evidence by default; with
+more required, copies of a passage alone are none, as they are one surrounding.
 
 One scan writes spans, windows, term places and word counts; all else is joins and
 sums of those small rows. Texts are never shuffled and nothing is broadcast by us.
@@ -35,7 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 GENERAL, REMOVED = "general", "removed"
 WINDOW = 8
 MOST_DISCLOSED = 0.9
-LEAST_CONTEXTS = 3
+LEAST_CONTEXTS = 1
 
 # The patterns start only where a match can begin and never give back, so long texts without a match take linear time.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
