@@ -8,9 +8,10 @@ import pytest
 import corpus_pipeline
 from tests.llm.cases import DOCS, documents, prose
 from tests.llm.test_bytebpe import ENC
+from tests.llm.test_neardup import brute as groups
+from tests.llm.test_neardup import changed
 from tests.llm.test_quality import counts
 from tests.llm.test_secrets import brute as base_spans
-from tests.llm.test_simhash import brute as groups
 from verdant.llm import quality
 
 
@@ -21,7 +22,7 @@ def sf_dir(spark, tmp_path_factory):
     plain = [prose(rng, 150, words) for _ in range(40)]
     item = "name the seven hills of old rome in the order of height and say why each was built upon first"
     rows = [(i, t) for i, t in enumerate(plain)]
-    rows += [(100, plain[3].upper()), (101, plain[3]), (102, plain[4] + " "), (103, prose(rng, 150, words) + " token: " + "ab12" * 10), (104, prose(rng, 80, words) + " " + item), (105, "short"), (106, None), (107, "x y z " * 60)]
+    rows += [(100, plain[3].upper()), (101, plain[3]), (102, plain[4] + " "), (103, prose(rng, 150, words) + " token: " + "ab12" * 10), (104, prose(rng, 80, words) + " " + item), (105, "short"), (106, None), (107, "x y z " * 60), (109, changed(rng, plain[5], 3)), (110, changed(rng, plain[6], 12))]  # at 0.81 and below 0.5
     folder = tmp_path_factory.mktemp("sf")
     documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -40,8 +41,8 @@ def test_stages_in_order(spark, sf_dir):
     assert one.dtypes == docs.dtypes and sorted(r["doc_id"] for r in one.collect()) == [d for d, _ in good]
 
     two = stages[1](spark, one, folder)
-    first = sorted({component for _, _, component in groups(good)})
-    assert two.dtypes == docs.dtypes and sorted(r["doc_id"] for r in two.collect()) == first and 100 not in first and 101 not in first and 102 not in first
+    first = sorted(set(groups(good).values()))
+    assert two.dtypes == docs.dtypes and sorted(r["doc_id"] for r in two.collect()) == first and 100 not in first and 101 not in first and 102 not in first and 109 not in first and 110 in first
 
     three = stages[2](spark, two, folder)
     clean = [d for d in first if item not in dict(rows)[d]]
