@@ -34,16 +34,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN = 6
-#: Tokens that are scored.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Labelled values have so many characters at least; of longer ones than this the beginning is learnt.
-LEAST_VALUE, MOST_DEPTH = 16, 64
-#: Most labelled credentials of a kind, most plain tokens (candidates outside base matches), and most of those from a slice of texts.
-MOST_EXAMPLES, MOST_PLAIN, MOST_PLAIN_A_SLICE = 2000, 4000, 200
+#: Tokens that are scored: what an assigned value may be, less points at its ends; all of ``LEAST_ASSIGN`` characters or more.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.+[A-Za-z0-9+/_=-]+)*")
+#: Of longer values than this the beginning is learnt.
+MOST_DEPTH = 64
+#: Most labelled credentials of a kind, and most plain tokens (candidates outside base matches) of a stratum; those of least hash in all texts.
+MOST_EXAMPLES, MOST_PLAIN = 2000, 4000
+#: Plain tokens are learnt and judged in two strata, as there are many more words than long tokens: from so many characters on a token is long.
+LONG = 16
+_MOST_KNOWN = 1 << 18
 ALPHA = 0.05
 #: Natural-log likelihood by which a format must beat the plain tokens.
 MARGIN = 0.0
-#: Surprise, in nats, that a token may have beyond its format's held-out examples: about that of one character out of place.
+#: Surprise, in nats, that a token of ``LONG`` characters may have beyond its format's held-out examples: about that of one character
+#: out of place. Shorter ones, which tell less, may have as much less.
 SLACK = 12.0
 #: Weights of the whole format's characters in each state, of a class of characters in those, and of an end where no example ends.
 _POOLED, _CLASS, _END = 8.0, 1.0, 1e-12
@@ -243,17 +247,40 @@ class Automaton:
         return total + end, surprise - end - usual
 
 
-def examples(texts: list[str]) -> list[tuple[str, str]]:
-    """(kind, value) of all base matches of at least 16 characters, and ("plain", value) of the other candidates of least hash."""
-    out, plain = [], set()
-    for text in texts:
-        base = base_spans(text)
-        for start, kind, end in base:
-            value = ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
-            if len(value) >= LEAST_VALUE:
-                out.append((KINDS[kind], value))
-        plain.update(m[0] for m in outside(CANDIDATE, text, base))
-    return out + [("plain", w) for _, w in heapq.nsmallest(MOST_PLAIN_A_SLICE, ((xxhash.xxh64_intdigest(w), w) for w in plain))]
+def labelled(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str, str]]:
+    """(kind, value) of the base matches, values without points at their ends."""
+    for start, kind, end in base:
+        value = (ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]).strip(".")
+        if len(value) >= LEAST_ASSIGN:
+            yield KINDS[kind], value
+
+
+def stratum(token: str) -> str:
+    return "long" if len(token) >= LONG else "short"
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Tokens that overlap no base span and are long enough for a credential."""
+    return (m for m in outside(CANDIDATE, text, base) if m.end() - m.start() >= LEAST_ASSIGN)
+
+
+class _Least:
+    """The ``most`` tokens of least hash, of any number that come."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.bound = most, {}, 1 << 64
+
+    def add(self, tokens: set[str]) -> None:
+        for token in tokens:
+            h = xxhash.xxh64_intdigest(token)
+            if h < self.bound:
+                self.held[token] = h
+        if len(self.held) > 2 * self.most:
+            self.held = dict(heapq.nsmallest(self.most, self.held.items(), key=lambda x: (x[1], x[0])))
+            self.bound = max(self.held.values())
+
+    def rows(self) -> list[tuple[str, int]]:
+        return [(t, h - (1 << 63)) for t, h in heapq.nsmallest(self.most, self.held.items(), key=lambda x: (x[1], x[0]))]
 
 
 def outside(pattern: re.Pattern, text: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
@@ -276,10 +303,11 @@ class Scanner:
     def __init__(self, found: dict[str, list[str]], plain: list[str]):
         found = {k: sorted(set(v)) for k, v in sorted(found.items()) if v}
         self.formats = {k: Automaton(v) for k, v in found.items()}
-        self.most = {k: self._held_out(v) + SLACK for k, v in found.items()}
-        # Each half of the plain tokens judges the other, or a secret among them would have taught what it is compared with.
-        halves = [[x for x in sorted(set(plain)) if _half(x) == k] for k in range(2)]
-        self.plain = [Automaton(x) if x else None for x in halves[::-1]]
+        self.most = {k: self._held_out(v) for k, v in found.items()}
+        # Each half of a stratum's plain tokens judges the other, or a secret among them would have taught what it is compared with.
+        halves = {(of, k): [x for x in sorted(set(plain)) if stratum(x) == of and _half(x) == k] for of in ("long", "short") for k in range(2)}
+        self.plain = {(of, 1 - k): Automaton(x) if x else None for (of, k), x in halves.items()}
+        self.known: dict[str, str | None] = {}
 
     @staticmethod
     def _held_out(values: list[str]) -> float:
@@ -295,16 +323,25 @@ class Scanner:
 
     def format_of(self, token: str) -> str | None:
         """The likeliest format that the token is of, if any."""
-        other = self.plain[_half(token)]
-        plain = other.score(token)[0] if other else -math.inf
+        if token not in self.known:
+            if len(self.known) >= _MOST_KNOWN:
+                self.known.clear()
+            self.known[token] = self._format_of(token)
+        return self.known[token]
+
+    def _format_of(self, token: str) -> str | None:
         scores = [(*a.score(token), k) for k, a in self.formats.items()]
-        good = [(likely, k) for likely, surprise, k in scores if surprise <= self.most[k] and likely >= plain + MARGIN]
-        return max(good)[1] if good else None
+        slack = SLACK * min(1.0, len(token) / LONG)
+        good = [(likely, k) for likely, surprise, k in scores if surprise <= self.most[k] + slack]
+        if not good:
+            return None
+        other = self.plain[stratum(token), _half(token)]
+        return max(good)[1] if other is None or max(good)[0] >= other.score(token)[0] + MARGIN else None
 
     def inferred(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
         if not self.formats:
             return []
-        found = ((m, self.format_of(m[0])) for m in outside(CANDIDATE, text, taken))
+        found = ((m, self.format_of(m[0])) for m in candidates(text, taken))
         return [(m.start(), f"like_{k}", m.end()) for m, k in found if k]
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
@@ -316,18 +353,37 @@ def train(docs: DataFrame, text_col: str = "text") -> Scanner:
     """A scanner from the labelled values of least hash in all texts.
 
     Bounds: ``MOST_EXAMPLES`` values of a kind and ``MOST_PLAIN`` other tokens
-    (of the ``MOST_PLAIN_A_SLICE`` of least hash in each 256 texts), each cut to
-    ``MOST_DEPTH`` characters and one more; the driver gets no more. Every text
-    is read whole. One example is enough for a format.
-    """
+    of a stratum, each the ones of least hash in the whole table however its
+    rows are dealt, cut to ``MOST_DEPTH`` characters and one more; the driver
+    gets no more. Every text is read whole. One example is enough for a format.
 
-    def rows(columns):
-        return examples([(raw or b"").decode("utf-8", "replace") for raw in columns[0]])
+    Nulls: null texts have no values. Repeated rows teach as one. An empty
+    table makes a scanner of the base patterns alone. Other columns are
+    ignored, whatever their names.
+    """
+    ship(docs.sparkSession)
 
-    found = map_arrow(docs.select(F.col(text_col).alias("text")), ["text"], "kind string, value string", rows)
-    found = written(found.select("kind", F.substring("value", 1, MOST_DEPTH + 1).alias("value")), "credentials")
-    of = lambda kind, most: [r["value"] for r in found.where(F.col("kind") == kind).distinct().orderBy(F.xxhash64("value"), "value").limit(most).collect()]
-    scanner = Scanner({k: of(k, MOST_EXAMPLES) for k in KINDS}, of("plain", MOST_PLAIN))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "value", "h"])
+        plain = {of: _Least(MOST_PLAIN) for of in ("long", "short")}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                own, tokens = set(), set()
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    base = base_spans(text or "")
+                    own.update(labelled(text or "", base))
+                    tokens.update(m[0] for m in candidates(text or "", base))
+                for of, least in plain.items():
+                    least.add({t for t in tokens if stratum(t) == of})
+                if own:
+                    yield made([(k, v[: MOST_DEPTH + 1], xxhash.xxh64_intdigest(v) - (1 << 63)) for k, v in own])
+        rows = [(of, t[: MOST_DEPTH + 1], h) for of, least in plain.items() for t, h in least.rows()]
+        if rows:
+            yield made(rows)
+
+    found = written(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, value string, h long"), "credentials")
+    of = lambda kind, most: [r["value"] for r in found.where(F.col("kind") == kind).groupBy("h").agg(F.min("value").alias("value")).orderBy("h").limit(most).collect()]
+    scanner = Scanner({k: of(k, MOST_EXAMPLES) for k in KINDS}, of("long", MOST_PLAIN) + of("short", MOST_PLAIN))
     drop(found)
     return scanner
 
