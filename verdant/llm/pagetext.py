@@ -4,8 +4,11 @@ Pages of a host are sorted by URL path; each is compared with the neighbour of
 the longer common path. Their text lines are aligned by a longest common
 subsequence, and a page's lines that its neighbour has too are boilerplate.
 Articles do repeat sentences of each other, so a shared line inside an article
-stays if it is evidently prose. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms and comments go by their markup alone, shared or not.
+goes only if it is no evident prose and the host shows that it belongs to its
+frame: at least ``LEAST_PAGES`` of its pages, and half of them, share that line at
+the same place, counted from the article's first or from its last line. Lines of
+menus, headers, footers, sidebars, notices, adverts, forms and comments go by
+their markup alone, shared or not.
 
 Only line hashes travel to the neighbour. Rows are range-partitioned by host
 and path, so a host of any size spreads over tasks; the first and last row of
@@ -47,6 +50,8 @@ OUTSIDE, FRAGMENT, SHORT, PROSE = range(4)
 LEAST_WORDS = 4
 #: Sentences of so many words outside an article, longer than it in sum, show that it isn't the page's body.
 LEAST_BODY_WORDS = 8
+#: So many pages of a host, and so many hundredths of them, share a line of the frame.
+LEAST_PAGES, LEAST_PERCENT = 3, 50
 SENTENCE = re.compile(r"""[.!?…。！？]["'”’»)\]]*\Z""")
 
 
@@ -310,33 +315,44 @@ def shared_lines(places: DataFrame) -> DataFrame:
     return near.where("part is null").unionByName(edges).select(*order, "shared")
 
 
+def frame_lines(places: DataFrame, shared: DataFrame) -> DataFrame:
+    """(host, path, same, frame): positions of the shared article lines that the host's pages place alike, of (…, at, kinds) of distinct pages."""
+    key = ["host", "path", "same"]
+    lines_ = F.filter(F.transform("at", lambda x, i: F.struct(x.alias("at"), F.get("kinds", i).alias("kind"))), lambda x: x["kind"] != OUTSIDE)
+    place = lambda x, i: F.struct(x["at"].alias("at"), F.get("hashes", x["at"]).alias("line"), x["kind"].alias("kind"), i.alias("first"), (i + 1 - F.size("_article")).alias("last"))
+    found = places.join(shared, key).withColumn("_article", lines_).withColumn("_x", F.transform("_article", place))
+    found = found.select(*key, F.explode(F.filter("_x", lambda x: (x["kind"] != PROSE) & F.array_contains("shared", x["at"]))).alias("_x"))
+    # Places from the front are 0 and more, from the back 0 and less; the first and the last line are told apart by the side.
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("_x")["first"].alias("place")), F.struct(F.lit(1).alias("side"), F.col("_x")["last"].alias("place")))
+    found = written(found.select(*key, F.col("_x")["at"].alias("at"), F.col("_x")["line"].alias("line"), F.explode(sides).alias("_s")).select(*key, "at", "line", "_s.*"), "shared-lines")
+    pages = places.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("pages"))
+    often = found.groupBy("host", "line", "side", "place").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    often = often.join(pages, F.col("host") == F.col("_host")).where(100 * F.col("n") >= LEAST_PERCENT * F.col("pages")).select("host", "line", "side", "place")
+    return found.join(often, ["host", "line", "side", "place"], "left_semi").groupBy(*key).agg(F.collect_set("at").alias("frame"))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) for each page; n_shared counts its lines that the nearest page has too.
 
     A page has all lines that neither its markup nor its neighbour marks as
     boilerplate; one with its body in an article has none outside it. A shared
-    line of an article stays if it is a sentence of four words or more, or a
-    shorter one between lines that aren't shared. If such longer sentences are
-    over half of the article, the neighbour is a copy of it and takes nothing.
+    line of an article stays unless the host's pages show that it is of the
+    frame (``frame_lines``); sentences of four words or more always stay. So
+    two pages alone never take a line from each other's articles.
 
     Nulls: a null html is an empty page, a null url a page of no host; null
-    ids stay. Repeated rows have a row each and aren't each other's
-    neighbours. An empty table gives an empty result. Other columns are
-    ignored, whatever their names.
+    ids stay. Repeated rows have a row each, aren't each other's neighbours
+    and are one page of the host. An empty table gives an empty result. Other
+    columns are ignored, whatever their names.
     """
     rows = parsed(pages, id_col, url_col, html_col)
     key = ["host", "path", "same"]
-    places = rows.select(*key, "hashes").dropDuplicates(key)
-    shared = shared_lines(places)
-    out = rows.drop("hashes").join(shared, key, "left")
-    lines_ = F.transform("texts", lambda t, i: F.struct(t.alias("t"), F.get("kinds", i).alias("kind"), F.coalesce(F.array_contains("shared", F.get("at", i)), F.lit(False)).alias("shared")))
-    out = out.withColumn("_lines", lines_)
-    chars = lambda found: F.aggregate(found, F.lit(0), lambda n, x: n + F.length(x["t"]))
-    article = F.filter("_lines", lambda x: x["kind"] != OUTSIDE)
-    out = out.withColumn("_copy", 2 * chars(F.filter("_lines", lambda x: (x["kind"] == PROSE) & x["shared"])) > chars(article))
-    alone = lambda i: ~F.coalesce(F.get("_lines", i)["shared"], F.lit(True))
-    stays = lambda x, i: ~x["shared"] | (x["kind"] == PROSE) | ((x["kind"] == SHORT) & alone(i - 1) & alone(i + 1)) | ((x["kind"] != OUTSIDE) & F.col("_copy"))
-    out = out.withColumn("text", F.array_join(F.transform(F.filter("_lines", stays), lambda x: x["t"]), "\n\n"))
+    places = written(rows.select(*key, "hashes", "at", "kinds").dropDuplicates(key), "places")
+    shared = written(shared_lines(places), "shared")
+    out = rows.drop("hashes").join(shared, key, "left").join(frame_lines(places, shared), key, "left")
+    is_in = lambda name, i: F.coalesce(F.array_contains(name, F.get("at", i)), F.lit(False))
+    lines_ = F.transform("texts", lambda t, i: F.struct(t.alias("t"), F.when(F.get("kinds", i) == OUTSIDE, is_in("shared", i)).otherwise(is_in("frame", i)).alias("goes")))
+    out = out.withColumn("text", F.array_join(F.transform(F.filter(lines_, lambda x: ~x["goes"]), lambda x: x["t"]), "\n\n"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("shared").cast("long").alias("n_shared"))
 
 
