@@ -38,6 +38,16 @@ SELECT c.conv_id, c.turn, c.call_id, l.level, CASE c.role WHEN 'user' THEN 'mess
  '{"after":' || coalesce(to_json(c.after)::VARCHAR, 'null') || ',"arguments":{"text":' || to_json(c.text)::VARCHAR || '},"id":' || to_json(c.call_id)::VARCHAR || ',"name":"' || CASE c.role WHEN 'user' THEN 'message' ELSE 'configure' END || '","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}' AS json
 FROM c JOIN l USING (conv_id, turn) LEFT JOIN m r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant'"""
 
+STATED = """
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, length(text) AS n, 'c-' || conv_id || '-' || turn AS call_id,
+  CASE WHEN turn > 0 THEN 'c-' || conv_id || '-' || (turn - CASE role WHEN 'user' THEN 2 ELSE 1 END) END AS after FROM conversations WHERE role IN ('user', 'system')),
+l(call_id, level) AS (SELECT call_id, 0::BIGINT FROM c WHERE after IS NULL OR after NOT IN (SELECT call_id FROM c) UNION ALL SELECT c.call_id, l.level + 1 FROM l JOIN c ON c.after = l.call_id),
+e AS (SELECT *, array_to_string(list_filter([CASE WHEN n < 1 OR n > 60 THEN '$.n: out of bounds' END, CASE WHEN role <> 'user' THEN '$.of: not the value allowed' END], lambda x: x IS NOT NULL), '; ') AS errors FROM c)
+SELECT conv_id, turn, call_id, level, 'count' AS name, errors = '' AS valid, errors, CASE WHEN n % 3 > 0 THEN turn + 1 END AS result_turn,
+ '{"after":' || coalesce('"' || after || '"', 'null') || ',"arguments":{"n":' || n || ',"of":"' || role || '"},"id":"' || call_id || '","name":"count","result":' ||
+ CASE WHEN n % 3 > 0 THEN '"{\\"characters\\":' || n || ',\\"words\\":' || len(string_split(text, ' ')) || '}"' ELSE 'null' END || '}' AS json
+FROM e JOIN l USING (call_id)"""
+
 _UNITS = "|".join(D.UNITS)
 
 
@@ -101,4 +111,4 @@ SELECT vec_id, b.k::INTEGER AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITI
 """
 
 
-ORACLE_SQL = {"op2_tool_calls": OP2, "op3_decontaminate": OP3, "op9_warc": OP9, "op10_quality_rules": OP10, "op13_centroids": _op13()}
+ORACLE_SQL = {"op2_tool_calls": OP2, "stated_tool_calls": STATED, "op3_decontaminate": OP3, "op9_warc": OP9, "op10_quality_rules": OP10, "op13_centroids": _op13()}

@@ -11,6 +11,7 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_tool_calls": toolcalls.op2_tool_calls,
+    "stated_tool_calls": toolcalls.stated_tool_calls,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_files": tokenfile.op4_token_files,
     "op5_byte_bpe": bytebpe.op5_byte_bpe,

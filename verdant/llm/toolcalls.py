@@ -4,18 +4,18 @@ Calls and results are hash-joined by conversation and identifier. A call may
 name another that it comes after; levels of these chains are found by pointer
 doubling, in as many rounds as the logarithm of the longest chain. Arguments
 are validated against JSON schemas and each call is serialised with its result
-as canonical JSON (sorted keys, no spaces, no needless escapes).
+as canonical JSON (RFC 8785). Texts of any depth are read.
 """
 
 from __future__ import annotations
 
-import json
-import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdant.llm.canonical import canonical, loads, whole
 from verdant.llm.shared import map_arrow, written
 
 #: Schemas of the functions that plain messages stand for.
@@ -26,73 +26,81 @@ SCHEMAS = {
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
-#: Levels of objects and lists within each other that arguments and messages may have.
-MOST_DEPTH = 100
-_HALF = re.compile("[\ud800-\udfff]")
-
-
-def canonical(value) -> str:
-    """Strict JSON with sorted keys; halves of surrogate pairs, which no text can hold, become U+FFFD."""
-    return whole(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
-
-
-def whole(text: str) -> str:
-    return _HALF.sub("\ufffd", text)
-
-
-def _number(text: str) -> float:
-    x = float(text)
-    if not math.isfinite(x):
-        raise ValueError("a number out of range")
-    return x
-
-
-def loads(text: str):
-    """The value of strict JSON; ValueError for anything else, numbers out of range and more than ``MOST_DEPTH`` levels."""
-    try:
-        value = json.loads(text, parse_constant=_number, parse_float=_number)
-    except RecursionError:
-        raise ValueError("too many levels") from None
-    level, depth = [value], 0
-    while level := [y for x in level if isinstance(x, dict | list) for y in (x.values() if isinstance(x, dict) else x)]:
-        depth += 1
-        if depth > MOST_DEPTH:
-            raise ValueError("too many levels")
-    return value
+#: Keywords that describe and forbid nothing.
+_NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment"}
 
 
 def _is_type(value, name: str) -> bool:
     if name in ("number", "integer"):
         return isinstance(value, int | float) and not isinstance(value, bool) and (name == "number" or isinstance(value, int) or value.is_integer())
-    return isinstance(value, _TYPES[name])
+    return name in _TYPES and isinstance(value, _TYPES[name])
+
+
+def _among(value, allowed: list) -> bool:
+    """Whether JSON values are equal: true isn't 1, 1.0 is."""
+    own = canonical(value)
+    return any(canonical(x) == own for x in allowed)
+
+
+def _distinct(values: list) -> bool:
+    return len({canonical(x) for x in values}) == len(values)
+
+
+def _is_number(value) -> bool:
+    return isinstance(value, int | float) and not isinstance(value, bool)
+
+
+#: What a keyword demands of a value: whose business it is, whether a value is good, and what is told of one that isn't.
+_RULES = {
+    "enum": (lambda v: True, _among, "not one of the values allowed"),
+    "const": (lambda v: True, lambda v, x: _among(v, [x]), "not the value allowed"),
+    "minLength": (lambda v: isinstance(v, str), lambda v, x: len(v) >= x, "length out of bounds"),
+    "maxLength": (lambda v: isinstance(v, str), lambda v, x: len(v) <= x, "length out of bounds"),
+    "pattern": (lambda v: isinstance(v, str), lambda v, x: re.search(x, v) is not None, "not of the pattern"),
+    "minimum": (_is_number, lambda v, x: v >= x, "out of bounds"),
+    "maximum": (_is_number, lambda v, x: v <= x, "out of bounds"),
+    "exclusiveMinimum": (_is_number, lambda v, x: v > x, "out of bounds"),
+    "exclusiveMaximum": (_is_number, lambda v, x: v < x, "out of bounds"),
+    "multipleOf": (_is_number, lambda v, x: Fraction(v) % Fraction(str(x)) == 0, "not a multiple"),
+    "minItems": (lambda v: isinstance(v, list), lambda v, x: len(v) >= x, "number of items out of bounds"),
+    "maxItems": (lambda v: isinstance(v, list), lambda v, x: len(v) <= x, "number of items out of bounds"),
+    "uniqueItems": (lambda v: isinstance(v, list), lambda v, x: not x or _distinct(v), "repeated items"),
+    "minProperties": (lambda v: isinstance(v, dict), lambda v, x: len(v) >= x, "number of members out of bounds"),
+    "maxProperties": (lambda v: isinstance(v, dict), lambda v, x: len(v) <= x, "number of members out of bounds"),
+    "anyOf": (lambda v: True, lambda v, x: any(not violations(v, s) for s in x), "none of the schemas allowed"),
+    "oneOf": (lambda v: True, lambda v, x: sum(not violations(v, s) for s in x) == 1, "not of exactly one of the schemas allowed"),
+    "not": (lambda v: True, lambda v, x: bool(violations(v, x)), "of a schema forbidden"),
+}
+_KNOWN = {*_RULES, *_NOTES, "type", "required", "properties", "additionalProperties", "items", "allOf"}
 
 
-def violations(value, schema: dict, path: str = "$") -> list[str]:
-    """What in ``value`` a schema forbids: type, enum, required, properties, additionalProperties, items, lengths and bounds."""
-    out = []
+def violations(value, schema: dict | bool, path: str = "$") -> list[str]:
+    """What in ``value`` a schema forbids; a keyword that isn't known here is an error of the schema, as what it forbids would pass."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: forbidden"]
+    out = [f"{path}: the schema's {k!r} isn't known" for k in sorted(schema.keys() - _KNOWN)]
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         if not any(_is_type(value, n) for n in names):
-            return [f"{path}: not {' or '.join(names)}"]
-    if "enum" in schema and value not in schema["enum"]:
-        out.append(f"{path}: not one of the values allowed")
+            return [*out, f"{path}: not {' or '.join(names)}"]
+    told = [what for k, (concerns, good, what) in _RULES.items() if k in schema and concerns(value) and not good(value, schema[k])]
+    out += [f"{path}: {what}" for what in dict.fromkeys(told)]
+    for part in schema.get("allOf", []):
+        out += violations(value, part, path)
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        other = schema.get("additionalProperties", True)
         for k in sorted(value):
             if k in known:
                 out += violations(value[k], known[k], f"{path}.{k}")
-            elif schema.get("additionalProperties", True) is False:
+            elif other is False:
                 out.append(f"{path}.{k}: unknown")
-    elif isinstance(value, list):
-        if "items" in schema:
-            for i, x in enumerate(value):
-                out += violations(x, schema["items"], f"{path}[{i}]")
-    elif isinstance(value, str):
-        if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", math.inf):
-            out.append(f"{path}: length out of bounds")
-    elif isinstance(value, int | float) and not isinstance(value, bool) and not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
-        out.append(f"{path}: out of bounds")
+            else:
+                out += violations(value[k], other, f"{path}.{k}")
+    elif isinstance(value, list) and "items" in schema:
+        for i, x in enumerate(value):
+            out += violations(x, schema["items"], f"{path}[{i}]")
     return out
 
 
@@ -212,10 +220,9 @@ def linked(found: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``linked`` calls of messages.
 
-    A text that isn't strict JSON (NaN, numbers out of range, more than
-    ``MOST_DEPTH`` levels) is a plain message, and such arguments are told as
-    no JSON; half a surrogate pair becomes U+FFFD. Texts of any length are
-    read whole.
+    A text that isn't strict JSON (NaN, numbers out of range) is a plain
+    message, and such arguments are told as no JSON; half a surrogate pair
+    becomes U+FFFD. Texts of any length and depth are read whole.
 
     Nulls: a null conversation is one of its own; a null turn or role is no
     user's; a null text is an argument or result null. Repeated messages give
@@ -227,3 +234,19 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] | None = None,
 
 def op2_tool_calls(spark, sf_dir: str) -> DataFrame:
     return link_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+STATED = {"count": {"type": "object", "required": ["n", "of"], "properties": {"n": {"type": "integer", "exclusiveMinimum": 0, "maximum": 60}, "of": {"const": "user"}}, "additionalProperties": False}}
+
+
+def stated_tool_calls(spark, sf_dir: str) -> DataFrame:
+    """Calls that messages state, made from the conversations: each turn of a user or system counts its text, and the next turn tells the answer."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role in ('user', 'system')")
+    own = F.concat_ws("-", F.lit("c"), "conv_id", "turn")
+    before = F.when(F.col("turn") > 0, F.concat_ws("-", F.lit("c"), "conv_id", F.col("turn") - F.when(F.col("role") == "user", 2).otherwise(1)))
+    arguments = F.struct(F.length("text").alias("n"), F.col("role").alias("of"))
+    call = F.struct(own.alias("id"), before.alias("after"), F.lit("count").alias("name"), arguments.alias("arguments"))
+    calls = turns.select("conv_id", "turn", F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    answer = F.struct(own.alias("tool_call_id"), F.struct(F.size(F.split("text", " ")).alias("words"), F.length("text").alias("characters")).alias("content"))
+    results = turns.where(F.length("text") % 3 > 0).select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("tool").alias("role"), F.to_json(answer).alias("text"))
+    return link_tool_calls(calls.unionByName(results), STATED)
