@@ -17,6 +17,7 @@ from verdant.operators import catalog as C
 from verdant.operators import integrity as I
 from verdant.operators import kpi as K
 from verdant.operators import links as L
+from verdant.operators import polygons as P
 from verdant.operators import registry as G
 from verdant.sources import preview
 from verdant.plans import schema as S
@@ -560,3 +561,48 @@ def clean_folders(spark, sf_dir):
 def split_escaped_parts(spark, sf_dir):
     parts = R.split_escaped(F.concat(F.lit("a\\,"), F.col("c_custkey").cast("string"), F.lit(",b")), ",")
     return table(spark, sf_dir, "customer").select("c_custkey", parts[0].alias("first_part"), F.element_at(parts, -1).alias("last_part"), F.size(parts).alias("n_parts"))
+
+
+# A concave polygon with a hole for each customer; of every third one a second part, wider than the first.
+_SHAPE = """SELECT c_custkey, (c_custkey % 300 - 150)::DOUBLE AS x, (c_custkey % 140 - 70)::DOUBLE AS y, 1.0 + c_custkey % 4 AS k FROM customer"""
+_POSITIONS = f"""SELECT c_custkey, part, ring, generate_subscripts(ps, 1) - 1 AS position, unnest(ps) AS p FROM (
+ SELECT c_custkey, 0 AS part, 0 AS ring, [[x, y], [x + 6, y], [x + 6, y + 5], [x + 4, y + 5], [x + 4, y + k], [x + 2, y + k], [x + 2, y + 5], [x, y + 5], [x, y]] AS ps FROM ({_SHAPE})
+ UNION ALL SELECT c_custkey, 0, 1, [[x + 0.25, y + 0.25], [x + 0.25, y + 0.5], [x + 0.75, y + 0.5], [x + 0.25, y + 0.25]] FROM ({_SHAPE})
+ UNION ALL SELECT c_custkey, 1, 0, [[x + 10, y], [x + 20, y + 1], [x + 12, y + 3], [x + 10, y]] FROM ({_SHAPE}) WHERE c_custkey % 3 = 0)"""
+
+
+def _shapes(spark, sf_dir):
+    """(c_custkey, geometry) of the same polygons as GeoJSON text."""
+    at = lambda dx, dy: F.array((F.col("x") + dx).cast("double"), (F.col("y") + dy).cast("double"))
+    k = F.col("k")
+    outer = F.array(at(0, 0), at(6, 0), at(6, 5), at(4, 5), at(4, k), at(2, k), at(2, 5), at(0, 5), at(0, 0))
+    hole = F.array(at(0.25, 0.25), at(0.25, 0.5), at(0.75, 0.5), at(0.25, 0.25))
+    other = F.array(at(10, 0), at(20, 1), at(12, 3), at(10, 0))
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_custkey % 300 - 150 AS x", "c_custkey % 140 - 70 AS y", "1 + c_custkey % 4 AS k")
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(outer, hole).alias("coordinates")))
+    return rows.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, P.multi_polygon(F.array(F.array(outer, hole), F.array(other)))).otherwise(one).alias("geometry"))
+
+
+@query(f"SELECT c_custkey, part, ring, position, p[1] AS lon, p[2] AS lat FROM ({_POSITIONS})")
+def polygon_rings(spark, sf_dir):
+    return P.rings(_shapes(spark, sf_dir), "geometry", "c_custkey").drop("altitude")
+
+
+@query(f"""WITH p AS (SELECT *, p[1] AS px, p[2] AS py FROM ({_POSITIONS})),
+m AS (SELECT c_custkey, part, (min(py) + max(py)) / 2 AS mid FROM p GROUP BY 1, 2),
+h AS (SELECT c_custkey, part, (max(py) FILTER (py <= mid) + min(py) FILTER (py > mid)) / 2 AS h FROM p JOIN m USING (c_custkey, part) GROUP BY 1, 2),
+e AS (SELECT c_custkey, part, px AS ax, py AS ay, lead(px) OVER w AS bx, lead(py) OVER w AS b_y FROM p WINDOW w AS (PARTITION BY c_custkey, part, ring ORDER BY position)),
+x AS (SELECT c_custkey, part, h, ax + (h - ay) / (b_y - ay) * (bx - ax) AS x, row_number() OVER (PARTITION BY c_custkey, part ORDER BY ax + (h - ay) / (b_y - ay) * (bx - ax)) - 1 AS n
+  FROM e JOIN h USING (c_custkey, part) WHERE bx IS NOT NULL AND (ay <= h) <> (b_y <= h)),
+s AS (SELECT c_custkey, part, n // 2 AS n, any_value(h) AS h, max(x) - min(x) AS width, (max(x) + min(x)) / 2 AS mid FROM x GROUP BY 1, 2, 3)
+SELECT c_custkey, mid AS lon, h AS lat FROM s QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY width DESC, part, n) = 1""")
+def label_points(spark, sf_dir):
+    return P.label_points(_shapes(spark, sf_dir), "geometry").select("c_custkey", F.col("label_lon").alias("lon"), F.col("label_lat").alias("lat"))
+
+
+@query("SELECT o_orderkey, round(-63 + (o_orderkey % 60000) / 10000.0::DOUBLE - 3, 7) AS lon, round((o_orderkey % 7900) / 100.0::DOUBLE - 40, 7) AS lat FROM orders")
+def unprojected(spark, sf_dir):
+    """Degrees to zone 20 south and back by the zone's inverse series."""
+    lon, lat = F.expr("-66 + (o_orderkey % 60000) / 10000D"), F.expr("(o_orderkey % 7900) / 100D - 40")
+    there = table(spark, sf_dir, "orders").select("o_orderkey", P.from_degrees(lon, lat, 31980).alias("p"))
+    return there.select("o_orderkey", P.to_degrees("p.x", "p.y", 31980).alias("d")).select("o_orderkey", F.round("d.lon", 7).alias("lon"), F.round("d.lat", 7).alias("lat"))
