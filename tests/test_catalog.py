@@ -85,3 +85,15 @@ def test_empty_catalog_gives_zeros(spark):
 def test_richness_ties_by_name(spark):
     df = spark.createDataFrame([("s", "A", k, True, g, "F", 1, True) for g, k in [("b", "1"), ("a", "2"), ("c", "3"), ("c", "4")]], CATALOG)
     assert [r[0] for r in K.richness(df, "genus", 2).collect()] == ["c", "a"]
+
+
+def test_panels_scan_the_catalog_once(spark, tmp_path):
+    """One scan of the records and no distinct count, for the general panel and the panels by group."""
+    rows = [("p", "g", "S", True, "a b", "A", "F", 2000, True), ("h", "g", "S", True, "a b", "A", "F", 2001, False), ("p", "g", "S", True, "c d", "C", None, 2001, True), (None, None, None, False, None, None, " ", None, None)]
+    spark.createDataFrame(rows, "source string, group string, taxonRank string, is_species_level boolean, species_key string, genus string, family string, year int, has_coordinates boolean").write.parquet(f"{tmp_path}/c")
+    df = spark.read.parquet(f"{tmp_path}/c")
+    for panel in (K.overall(df, "p"), K.by_group(df, "p")):
+        plan = panel._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan") == 1 and "Expand" not in plan
+    assert K.overall(df, "p").first().asDict() == {"n_records": 4, "n_project": 2, "n_historical": 1, "n_species": 2, "n_genera": 2, "n_families": 1, "n_georeferenced": 2, "n_new_species": 1}
+    assert K.overall(df.limit(0), "p").first()["n_records"] == 0 and {r["group"]: r["n_new_species"] for r in K.by_group(df, "p").collect()} == {"g": 1, None: 0}

@@ -132,3 +132,13 @@ def test_linked_keys(spark):
     a = spark.createDataFrame([(["x", "y"], [1, 5])], "v array<string>, i array<int>")
     assert a.select(L.subset("v", "i"), L.recycled("v", F.lit(3)), L.matches_all("v", ["x"])).first()[:] == (["y", None], "y", False)
     assert a.select(L.rows_of({"a": F.col("v"), "b": F.col("i")}).alias("r")).first()["r"][1].asDict() == {"a": "y", "b": 5}
+
+
+def test_broken_rows_are_told_and_good_ones_kept(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('a,b ,c\n1,2,3\n4,5\n6,"x, ""y""\nz",7\n8,9,10,11\n , NA,12\n')
+    good, broken = tables.read_csv_checked(spark, str(path))
+    assert good.columns == ["a", "b", "c"] and sorted((tuple(r) for r in good.collect()), key=repr) == sorted([("1", "2", "3"), ("6", 'x, "y"\nz', "7"), (None, None, "12")], key=repr)
+    assert sorted(tuple(r) for r in broken.collect()) == [("4,5", "fewer values than names"), ("8,9,10,11", "more values than names")]
+    with pytest.raises(FileNotFoundError):
+        tables.read_csv_checked(spark, str(tmp_path / "no.csv"))

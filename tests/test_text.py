@@ -56,3 +56,17 @@ def test_resolve(spark):
 
 def test_split_escaped(spark):
     assert values(spark, [r"a,b\,c,d"], lambda c: R.split_escaped(c, ",")) == [["a", "b,c", "d"]]
+
+
+def test_all_latin_letters_fold(spark):
+    """Against Unicode's own decomposition, for the search; slugs write the letters that it leaves as well."""
+    import unicodedata
+
+    names = ["Čapek", "Erdős", "Erdo\u030bs", "Şahin", "Nguyễn", "Żółć", "Ærø", "Œuvre", "Straße", "İstanbul", "ŠĐ", "ǅ"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {r["n"]: (r["a"], r["b"]) for r in df.select("n", T.normal_name("n").alias("a"), T.slug("n").alias("b")).collect()}
+    for n in names:
+        bare = "".join(c for c in unicodedata.normalize("NFD", n) if not unicodedata.combining(c))
+        assert got[n][0] == " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in bare.lower()).split()), n
+    assert got["Żółć"][1] == "zolc" and got["Ærø"][1] == "aero" and got["Œuvre"][1] == "oeuvre" and got["Straße"][1] == "strasse" and got["Erdo\u030bs"][1] == got["Erdős"][1] == "erdos"
+    assert T.plain("Čłæß") == "Claess"

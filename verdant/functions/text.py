@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they fold to, position by position (fixed values).
-MARKED = "ÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝĨŨáàâãäåçéèêëíìîïñóòôõöúùûüýÿĩũ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYIUaaaaaaceeeeiiiinooooouuuuyyiu"
+# Letters that Unicode doesn't decompose, one to one and one to several.
+_SINGLE = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ł": "L", "ł": "l", "Ħ": "H", "ħ": "h", "Ŧ": "T", "ŧ": "t", "ı": "i"}
+SEVERAL = {"Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "ss", "Þ": "TH", "þ": "th"}
+
+
+def _decomposed() -> dict[str, str]:
+    """Each Latin letter with marks (Latin-1 to Extended-B, Extended Additional) and the ASCII letter under its marks."""
+    letters = (chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))
+    under = {c: unicodedata.normalize("NFD", c)[0] for c in letters}
+    return {c: x for c, x in under.items() if x != c and x.isascii() and x.isalpha()}
+
+
+#: Letters with marks and what they fold to, position by position; marks that stand by themselves go.
+MARKED, PLAIN = map("".join, zip(*_decomposed().items(), strict=True))
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 #: Text that counts as true (fixed values); nothing else does.
 TRUE_TEXT = ("TRUE", "true", "1")
 
@@ -42,17 +56,36 @@ def sentence_case(x: Column | str) -> Column:
 
 
 def unaccent(x: Column | str) -> Column:
-    return F.translate(_c(x), MARKED, PLAIN)
+    """Latin letters without their marks, composed or not; letters that no mark makes stay."""
+    return F.translate(_c(x), MARKED + MARKS, PLAIN)
+
+
+def transliterated(x: Column | str) -> Column:
+    """``unaccent``, and letters that Unicode doesn't decompose as the ones they stand for."""
+    one = F.translate(_c(x), MARKED + "".join(_SINGLE) + MARKS, PLAIN + "".join(_SINGLE.values()))
+    for letter, by in SEVERAL.items():
+        one = F.replace(one, F.lit(letter), F.lit(by))
+    return one
+
+
+def plain(text: str) -> str:
+    """``transliterated``, of a name in the program."""
+    return text.translate(str.maketrans(MARKED, PLAIN, MARKS) | str.maketrans(_SINGLE | SEVERAL))
+
+
+def _joined(x: Column, sep: str) -> Column:
+    runs = F.regexp_replace(F.lower(x), "[^a-z0-9]+", sep or "")
+    return F.regexp_replace(runs, f"^{sep}+|{sep}+$", "") if sep else runs
 
 
 def fold(x: Column | str, sep: str = " ") -> Column:
     """Lower-case letters and digits without marks; runs of anything else become ``sep``, none at the ends."""
-    runs = F.regexp_replace(F.lower(unaccent(x)), "[^a-z0-9]+", sep or "")
-    return F.regexp_replace(runs, f"^{sep}+|{sep}+$", "") if sep else runs
+    return _joined(unaccent(x), sep)
 
 
 def slug(x: Column | str) -> Column:
-    return fold(x, "-")
+    """As ``fold`` with hyphens, of transliterated letters: a slug keeps ł, ø, œ and ß as l, o, oe and ss, where a search takes them for gaps."""
+    return _joined(transliterated(x), "-")
 
 
 def normal_name(x: Column | str) -> Column:
@@ -64,7 +97,7 @@ def normal_key(x: Column | str) -> Column:
 
 
 def photo_file(x: Column | str, ext: str = ".jpg") -> Column:
-    return F.concat(fold(x, "_"), F.lit(ext))
+    return F.concat(_joined(transliterated(x), "_"), F.lit(ext))
 
 
 def first_letter(x: Column | str) -> Column:

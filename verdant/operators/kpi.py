@@ -28,22 +28,30 @@ def _counts(df: DataFrame, groups: list[str] | None) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("has_coordinates").alias("n_placed"))
 
 
-def _measures(project: str) -> list[Column]:
-    records = lambda own: F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0))
-    return [
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"),
-        records(F.col("source") == project).alias("n_project"),
-        records(F.col("source") != project).alias("n_historical"),
-        F.countDistinct("species").alias("n_species"),
-        F.countDistinct("genus").alias("n_genera"),
-        F.countDistinct("family").alias("n_families"),
-        F.coalesce(F.sum("n_placed"), F.lit(0)).alias("n_georeferenced"),
-    ]
+def _panel(df: DataFrame, project: str, by: list[str], groups: list[str] | None) -> DataFrame:
+    """A row of measures for each of ``by``, from one scan.
 
-
-def _new(counts: DataFrame, project: str, by: list[str]) -> DataFrame:
-    seen = counts.where("species is not null").groupBy(*by, "species").agg(F.bool_or(F.col("source") == project).alias("ours"), F.bool_or(F.col("source") != project).alias("theirs"))
-    return seen.where("ours and not coalesce(theirs, false)").groupBy(*by).agg(F.count("*").alias("n_new_species"))
+    Each count comes once for its species, its genus and its family; sums by
+    these keys then tell how many there are and which species are the
+    project's alone, without a distinct count or a second pass.
+    """
+    named = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("key"))
+    facts = _counts(df, groups).select(*by, "source", "n", "n_placed", F.explode(F.array(*map(named, ("species", "genus", "family")))).alias("_k"))
+    own, other = F.col("source") == project, F.col("source") != project
+    sums = [F.sum("n").alias("n"), F.sum(F.when(own, F.col("n"))).alias("n_own"), F.sum(F.when(other, F.col("n"))).alias("n_other"), F.sum("n_placed").alias("n_placed")]
+    keys = facts.groupBy(*by, F.col("_k")["kind"].alias("kind"), F.col("_k")["key"].alias("key")).agg(*sums, F.bool_or(own).alias("ours"), F.bool_or(other).alias("theirs"))
+    known = lambda kind: (F.col("kind") == kind) & F.col("key").isNotNull()
+    total = lambda n: F.coalesce(F.sum(F.when(F.col("kind") == "species", F.col(n))), F.lit(0))
+    return keys.groupBy(*by).agg(
+        total("n").alias("n_records"),
+        total("n_own").alias("n_project"),
+        total("n_other").alias("n_historical"),
+        F.count_if(known("species")).alias("n_species"),
+        F.count_if(known("genus")).alias("n_genera"),
+        F.count_if(known("family")).alias("n_families"),
+        total("n_placed").alias("n_georeferenced"),
+        F.count_if(known("species") & F.col("ours") & ~F.coalesce("theirs", F.lit(False))).alias("n_new_species"),
+    )
 
 
 def new_species(df: DataFrame, project: str, by_group: bool = False, groups: list[str] | None = None) -> DataFrame:
@@ -60,16 +68,12 @@ def new_species(df: DataFrame, project: str, by_group: bool = False, groups: lis
 
 def overall(df: DataFrame, project: str, groups: list[str] | None = None) -> DataFrame:
     """The general panel: one row of counts, new species included."""
-    counts = _counts(df, groups)
-    return counts.agg(*_measures(project)).crossJoin(F.broadcast(_new(counts, project, [])))  # one row each
+    return _panel(df, project, [], groups)
 
 
 def by_group(df: DataFrame, project: str, groups: list[str] | None = None) -> DataFrame:
     """A panel per group; a species new to its group may be known from another, so these don't add up to the general panel."""
-    counts = _counts(df, groups)
-    new = _new(counts, project, ["group"]).withColumnRenamed("group", "_group")
-    panels = counts.groupBy("group").agg(*_measures(project)).join(new, F.col("group").eqNullSafe(F.col("_group")), "left").drop("_group")
-    return panels.withColumn("n_new_species", F.coalesce("n_new_species", F.lit(0)))
+    return _panel(df, project, ["group"], groups)
 
 
 def resolution(rank: Column | str, labels: tuple[str, str, str, str] = ("species", "genus", "family", "other")) -> Column:

@@ -114,7 +114,7 @@ def ranked(df: DataFrame, name: str, leaders: list[str], leader: str = "leader",
 def _with_rank(df: DataFrame, name: str, leaders: list[str]) -> DataFrame:
     table: dict[str, int] = {}
     for k, x in enumerate(leaders, 1):
-        table.setdefault(" ".join("".join(c if c.isascii() and c.isalnum() else " " for c in x.translate(str.maketrans(T.MARKED, T.PLAIN)).lower()).split()), k)
+        table.setdefault(" ".join("".join(c if c.isascii() and c.isalnum() else " " for c in T.plain(x).lower()).split()), k)
     if not table:
         return df.withColumn("leader_rank", F.lit(None).cast("int"))
     ranks = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])

@@ -606,3 +606,13 @@ def unprojected(spark, sf_dir):
     lon, lat = F.expr("-66 + (o_orderkey % 60000) / 10000D"), F.expr("(o_orderkey % 7900) / 100D - 40")
     there = table(spark, sf_dir, "orders").select("o_orderkey", P.from_degrees(lon, lat, 31980).alias("p"))
     return there.select("o_orderkey", P.to_degrees("p.x", "p.y", 31980).alias("d")).select("o_orderkey", F.round("d.lon", 7).alias("lon"), F.round("d.lat", 7).alias("lat"))
+
+
+@query("""SELECT s_suppkey, trim(regexp_replace(lower(strip_accents(replace(replace(replace(name, 'Œ', 'OE'), 'ł', 'l'), 'Ø', 'O'))), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+  contains(lower(strip_accents(name)), 'sahin') AS found
+FROM (SELECT s_suppkey, ['Čapek ', 'Œuvre ', 'Michał ', 'Erdős ', 'Şahin ', 'Nguyễn ', 'Ørsted '][1 + (s_suppkey % 7)::INT] || s_name AS name FROM supplier)""")
+def folded_scripts(spark, sf_dir):
+    """Names of several scripts of the Latin alphabet, some with their marks apart, as slugs and as found by a search."""
+    names = ["Čapek ", "Œuvre ", "Michał ", "Erdo\u030bs ", "Şahin ", "Nguye\u0302\u0303n ", "Ørsted "]
+    name = F.concat(F.element_at(F.array(*map(F.lit, names)), (F.col("s_suppkey") % 7 + 1).cast("int")), F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", T.slug(name).alias("slug"), T.normal_name(name).contains("sahin").alias("found"))

@@ -53,7 +53,7 @@ def pick(columns: Sequence[str], candidates: Sequence[str], required: bool = Tru
 
 def key_of(name: str) -> str:
     """A column name without marks, case and punctuation."""
-    return "".join(c for c in name.translate(str.maketrans(T.MARKED, T.PLAIN)).lower() if c.isascii() and c.isalnum())
+    return "".join(c for c in T.plain(name).lower() if c.isascii() and c.isalnum())
 
 
 def pick_like(columns: Sequence[str], candidates: Sequence[str], required: bool = True) -> str | None:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Text that stands for a missing value (fixed values).
 MISSING = ("", "NA", "NaN")
@@ -29,12 +30,33 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def read_csv_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good, broken): the rows of ``read_csv`` that have as many values as the header has names, and (line, reason) of all others.
+
+    The file is parsed once for each of the two; nothing is filled or cut. Raises FileNotFoundError.
+    """
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    options = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    names = spark.read.csv(path, **options).columns
+    bad = "_line"
+    while bad in names:
+        bad += "_"
+    schema = StructType([StructField(n, StringType()) for n in (*names, bad)])
+    rows = spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, enforceSchema=True, **options)
+    good = _clean_names(rows.where(F.col(f"`{bad}`").isNull()).drop(bad))
+    good = good.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in good.columns])
+    # A row that is too short has nulls at its end, one that is too long none there.
+    reason = F.when(F.col(f"`{names[-1]}`").isNull(), "fewer values than names").otherwise("more values than names")
+    return good, rows.where(F.col(f"`{bad}`").isNotNull()).select(F.col(f"`{bad}`").alias("line"), reason.alias("reason"))
+
+
 def read_optional_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """``read_csv``, or an empty frame of ``schema`` if the file is missing or can't be read; its columns are always there."""
     want = spark.createDataFrame([], schema)
     try:
         df = read_csv(spark, path)
-    except Exception:  # noqa: BLE001  a tolerant source, as its name says
+    except (FileNotFoundError, AnalysisException):  # missing, or nothing that Spark can open
         return want
     return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in want.schema] + [F.col(f"`{c}`") for c in df.columns if c not in want.columns])
 
