@@ -332,7 +332,7 @@ def frame_lines(places: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars, n_shared) for each page; n_shared counts its lines that the nearest page has too.
+    """(page_id, url, text, n_chars) for each page.
 
     A page has all lines that neither its markup nor its neighbour marks as
     boilerplate; one with its body in an article has none outside it. A shared
@@ -349,11 +349,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     key = ["host", "path", "same"]
     places = written(rows.select(*key, "hashes", "at", "kinds").dropDuplicates(key), "places")
     shared = written(shared_lines(places), "shared")
-    out = rows.drop("hashes").join(shared, key, "left").join(frame_lines(places, shared), key, "left")
-    is_in = lambda name, i: F.coalesce(F.array_contains(name, F.get("at", i)), F.lit(False))
-    lines_ = F.transform("texts", lambda t, i: F.struct(t.alias("t"), F.when(F.get("kinds", i) == OUTSIDE, is_in("shared", i)).otherwise(is_in("frame", i)).alias("goes")))
-    out = out.withColumn("text", F.array_join(F.transform(F.filter(lines_, lambda x: ~x["goes"]), lambda x: x["t"]), "\n\n"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("shared").cast("long").alias("n_shared"))
+    is_in = lambda name, x: F.coalesce(F.array_contains(name, x), F.lit(False))
+    goes = F.filter("at", lambda x, i: F.when(F.get("kinds", i) == OUTSIDE, is_in("shared", x)).otherwise(is_in("frame", x)))
+    gone = places.join(shared, key).join(frame_lines(places, shared), key, "left").select(*key, goes.alias("gone")).where(F.size("gone") > 0)
+    # Written, so that the planner knows its size: texts stay where they are if few pages lose a line.
+    out = rows.drop("hashes").join(written(gone, "gone"), key, "left")
+    kept = F.filter(F.transform("texts", lambda t, i: F.struct(t.alias("t"), is_in("gone", F.get("at", i)).alias("gone"))), lambda x: ~x["gone"])
+    out = out.withColumn("text", F.array_join(F.transform(kept, lambda x: x["t"]), "\n\n"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op7_page_text(spark, sf_dir: str) -> DataFrame:
