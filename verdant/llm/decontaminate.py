@@ -1,14 +1,20 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
-Numbers, units and names become typed slots, all else lower-case words without
-punctuation. A capitalised word that begins a sentence may be a name or not, so
-there are two readings of a text: in one those words are words, in the other
-names. A document is contaminated by an item if, in one reading, a window of
+A text is read in two ways. Numbers are typed slots in both, whatever else is a
+lower-case word without punctuation. Plainly, capitalised words inside a
+sentence are name slots, one each. Merged, those that begin a sentence are
+names, too, a run of names is one slot, and a number takes the unit-like word
+after it into its slot: any word of any language that isn't a function word or
+capitalised. So names of several words and units that no list has are slots.
+
+A document is contaminated by an item if, in one reading, a window of
 ``RUN_TOKENS`` template tokens (or a whole shorter item) is common to both, and
 either all its slots have the same values or at most half of its tokens are
-slots and their values are consistent: one document value for each item value.
-Thus the same question with other numbers or names is found, whatever comes
-before and after, and a chance likeness of slots isn't.
+slots and their values are consistent: one document value for each item value,
+numbers and units by themselves; a unit that only one side has is no evidence. A unit without a number
+("how many pears") is a word.
+Thus the same question with other numbers, names or units is found, whatever
+comes before and after, and a chance likeness of slots isn't.
 
 Every run of ``RUN_TOKENS`` tokens holds a window of ``WINDOW`` tokens that
 begins at a multiple of ``STRIDE`` in the document, so only those windows of a
@@ -33,44 +39,59 @@ LEAST_TOKENS = 1
 LEAST_WORD_PERCENT = 50
 #: Item windows (some 30 bytes each) and item tokens up to these numbers are broadcast.
 MOST_BROADCAST, MOST_BROADCAST_TOKENS = 500_000, 1_000_000
-# Units of measure and currency.
-UNITS = [
-    "mm", "cm", "dm", "m", "km", "inch", "inches", "ft", "feet", "yd", "mile", "miles", "mg", "g", "kg", "t", "lb", "lbs", "oz", "ml", "cl", "l", "s", "sec",
-    "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "kb", "mb", "gb", "tb", "percent",
-    "dollars", "euros", "cents", "usd", "eur",
-]
-# Slots begin with a private-use character, and so do capitalised words that begin a sentence; such characters in a text are read as these.
-NUMBER, UNIT, NAME, POINT, INITIAL = "", "", "", "", ""
-_NAMES = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;]\s\p{Lu})\p{Ll}+"
-_INITIALS = rf"(?<![\p{{L}}\p{{N}}{NUMBER}-{INITIAL}%$€£])(?=\p{{Lu}}\p{{Ll}})"
-_UNIT = rf"({NUMBER}[\d{POINT}]*)\s*(?i:({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])|([%$€£]))"
-#: The readings: whether capitalised words that begin a sentence are names.
+# Function words, which are no units.
+FUNCTION_WORDS = {
+    "en": "a am an and are as at be but by for from had has he her his how i if in is it its no not of off on or our out she so than that the their them then there they this to was we were what when which who will with you your".split(),
+    "de": "als am an auf aus bei das dass dem den der des die durch ein eine er es für hat ich im in ist mit nach nicht oder sein sich sie sind so über um und von vor war was wenn wie wir zu zum zur".split(),
+    "fr": "à au aux ce ces cette dans de des donc du elle en est et il ils je la le les leur mais ne nous ont ou où par pas pour que qui sa se ses son sont sur un une vous y".split(),
+    "es": "a al como con cuando de del el ella en era es esta este fue ha la las le lo los más no o para pero por que se si sin son su sus un una y ya".split(),
+}
+# Slots begin with a private-use character; such characters in a text are read as these.
+NUMBER, UNIT, NAME, POINT, JOIN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+#: Characters of a token, less the brackets of a class.
+TOKEN = rf"a-z\p{{L}}\p{{N}}{NUMBER}-{JOIN}%$€£"
+#: A word after a number that may be a unit: no name (a capital and small letters), no function word.
+UNIT_LIKE = r"(?:\p{Ll}\p{L}*|\p{Lu}{2,4}\p{Ll}?|[A-HJ-Z])"
+_NUMBERS = rf"\d(?:[\d{POINT}]|[.,](?<=\d[.,])(?=\d))*"
+_NAMES = rf"\p{{Lu}}(?<=(?:[\p{{Ll}}\p{{Nd}},;{NUMBER}]|[\p{{Nd}}{NUMBER}]\s)\s\p{{Lu}})\p{{Ll}}+"
+_CAPITALS = rf"\p{{Lu}}(?<![{TOKEN}]\p{{Lu}})(?=\p{{Ll}})"
+_WORD = rf"(?!(?i:{'|'.join(sorted({w for words in FUNCTION_WORDS.values() for w in words}))})(?![{TOKEN}])){UNIT_LIKE}(?![{TOKEN}])"
+_UNIT = rf"\s+(?=[%$€£]|{_WORD})"
+#: The readings: whether names and units are merged.
 READINGS = (False, True)
 
 
-def _tokens(text: Column) -> Column:
-    """Template tokens; a slot's token goes on with its lower-case value."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"[.,](?<=\d[.,])(?=\d)", POINT)
-    t = F.regexp_replace(t, rf"(\d[\d{POINT}]*)", f" {NUMBER}$1 ")
-    t = F.regexp_replace(t, _UNIT, f"$1 {UNIT}$2$3 ")
-    t = F.regexp_replace(t, f"({_NAMES})", f"{NAME}$1")
-    t = F.regexp_replace(t, _INITIALS, INITIAL)
-    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}-{INITIAL}%$€£]+"), "")
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), f"[^{TOKEN}]+"), "")
 
 
-def _read(named: bool):
-    """A token as it is in a reading."""
+def _numbered(text: Column) -> Column:
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.,](?<=\d[.,])(?=\d)", POINT)
+    return F.regexp_replace(t, rf"(\d[\d{POINT}]*)", f" {NUMBER}$1 ")
 
-    def read(token: Column) -> Column:
-        word = F.substring(token, 2, 2**30)
-        return F.when(token.startswith(INITIAL), F.concat(F.lit(NAME), word) if named else word).otherwise(token)
 
-    return read
+def _tokens(text: Column, merged: bool) -> Column:
+    """Template tokens of a reading; a slot's token goes on with its lower-case value, a number's with its unit."""
+    t = _numbered(text)
+    if not merged:
+        return _split(F.regexp_replace(t, f"({_NAMES})", f"{NAME}$1"))
+    t = F.regexp_replace(t, rf"({NUMBER}[\d{POINT}]*){_UNIT}", f"$1{UNIT}")
+    t = F.regexp_replace(t, _CAPITALS, f"{NAME}$0")
+    t = F.regexp_replace(t, rf"({NAME}[{TOKEN}]*)\s(?={NAME})", f"$1{JOIN}")
+    return F.transform(_split(t), lambda x: F.when(x.startswith(NAME), F.concat(F.lit(NAME), F.translate(x, JOIN + NAME, " "))).otherwise(x))
+
+
+def _kinds(text: Column, merged: bool) -> Column:
+    """The kinds of ``_tokens``, of which no value is kept, by fewer steps."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), _NUMBERS, f" {NUMBER} ")
+    if not merged:
+        return _split(F.regexp_replace(t, f"{_NAMES}[{TOKEN}]*", NAME))
+    t = F.regexp_replace(t, rf"{NUMBER}{_UNIT}[{TOKEN}]+", NUMBER)
+    return _split(F.regexp_replace(t, rf"{_CAPITALS}[{TOKEN}]*(?:\s\p{{Lu}}\p{{Ll}}[{TOKEN}]*)*", NAME))
 
 
 def _is_slot(token: Column) -> Column:
-    return F.substring(token, 1, 1).isin(NUMBER, UNIT, NAME)
+    return F.substring(token, 1, 1).isin(NUMBER, NAME)
 
 
 def _kind(token: Column) -> Column:
@@ -78,42 +99,44 @@ def _kind(token: Column) -> Column:
     return F.when(_is_slot(token), F.substring(token, 1, 1)).otherwise(token)
 
 
+def _bare(token: Column) -> Column:
+    """A token without its unit."""
+    return F.substring_index(token, UNIT, 1)
+
+
 def _at(size: Column, length: int, stride: int) -> Column:
     last = size - length
     return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
-def _near(hashes: Column, length: int, stride: int) -> Column:
-    """Hashes of the windows that start at multiples of ``stride``, over the hashes of the tokens' kinds."""
-    return F.transform(_at(F.size(hashes), length, stride), lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + j) for j in range(length)]))
+def _near(kinds: Column, length: int, stride: int) -> Column:
+    """Hashes of the windows that start at multiples of ``stride``."""
+    return F.transform(_at(F.size(kinds), length, stride), lambda i: F.xxhash64(F.slice(kinds, i + 1, length)))
 
 
-def _windows(tokens: Column, hashes: Column, length: int) -> Column:
+def _windows(tokens: Column, kinds: Column, length: int) -> Column:
     """(at, near, h) of every window; h tells a window of slots alone by its values, near by its kinds."""
-    near = lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + j) for j in range(length)])
+    near = lambda i: F.xxhash64(F.slice(kinds, i + 1, length))
     own = lambda i: F.slice(tokens, i + 1, length)
-    return F.transform(_at(F.size(tokens), length, 1), lambda i: F.struct(i.alias("at"), near(i).alias("near"), F.when(F.forall(own(i), _is_slot), F.xxhash64(own(i))).otherwise(near(i)).alias("h")))
-
-
-def _hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(_kind(t)))
+    h = lambda i: F.when(F.forall(own(i), _is_slot), F.xxhash64(F.transform(own(i), _bare))).otherwise(near(i))
+    return F.transform(_at(F.size(tokens), length, 1), lambda i: F.struct(i.alias("at"), near(i).alias("near"), h(i).alias("h")))
 
 
-def _readings(df: DataFrame, tokens: str) -> DataFrame:
-    """A row of ``df`` for each reading (column named), its tokens as they are read."""
-    read = [F.struct(F.lit(named).alias("named"), F.transform(tokens, _read(named)).alias("tokens")) for named in READINGS]
-    return df.withColumn("_r", F.explode(F.array(*read))).withColumn("named", F.col("_r")["named"]).withColumn(tokens, F.col("_r")["tokens"]).drop("_r")
+def _readings(df: DataFrame, text: str, tokens: str) -> DataFrame:
+    """A row of ``df`` for each reading (column merged) of a text, which its tokens replace."""
+    read = [F.struct(F.lit(merged).alias("merged"), _tokens(F.col(text), merged).alias("tokens")) for merged in READINGS]
+    return df.withColumn("_r", F.explode(F.array(*read))).withColumn("merged", F.col("_r")["merged"]).withColumn(tokens, F.col("_r")["tokens"]).drop("_r", text)
 
 
 def _items(bench: DataFrame, id_col: str, text_col: str, least_tokens: int) -> DataFrame:
-    """(item_id, item, item_tokens, need, named): item tells rows apart, need is the run that contaminates."""
-    items = bench.select(F.col(id_col).alias("item_id"), _tokens(F.col(text_col)).alias("item_tokens")).where(F.size("item_tokens") >= max(1, least_tokens))
-    items = items.select("item_id", F.xxhash64("item_id", "item_tokens").alias("item"), "item_tokens", F.least(F.lit(RUN_TOKENS), F.size("item_tokens")).alias("need")).dropDuplicates(["item"])
-    return _readings(items, "item_tokens")
+    """(item_id, item, merged, item_tokens, need): item tells rows apart, need is the run that contaminates."""
+    items = bench.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("_text")).withColumn("item", F.xxhash64("item_id", "_text")).dropDuplicates(["item"])
+    items = _readings(items, "_text", "item_tokens").where(F.size("item_tokens") >= max(1, least_tokens))
+    return items.withColumn("need", F.least(F.lit(RUN_TOKENS), F.size("item_tokens")))
 
 
 def _windows_of(tokens: str, lengths: list[int]) -> Column:
-    return F.explode(F.concat(*[_windows(F.col(tokens), F.col("_hashes"), n) for n in lengths]))
+    return F.explode(F.concat(*[_windows(F.col(tokens), F.col("_kinds"), n) for n in lengths]))
 
 
 def stretches(pairs: DataFrame) -> DataFrame:
@@ -123,13 +146,19 @@ def stretches(pairs: DataFrame) -> DataFrame:
     and its slots verbatim, or consistent and no more than half of it.
     """
     both = F.zip_with("theirs", "ours", lambda a, b: F.struct(a.alias("a"), b.alias("b"), (_kind(a) == _kind(b)).alias("same"), _is_slot(a).alias("slot")))
-    slots = lambda w: F.transform(F.filter(w, lambda x: x["slot"]), lambda x: F.struct(x["a"], x["b"]))
+    slots = lambda w: F.filter(w, lambda x: x["slot"])
+    # Values side by side: a number by itself, a unit where both have one.
+    part = lambda x, n: F.struct(*[F.get(F.split(x[side], UNIT), F.lit(n)).alias(side) for side in "ab"])
+    unit = lambda x: F.when(F.contains(x["a"], F.lit(UNIT)) & F.contains(x["b"], F.lit(UNIT)), F.transform(F.array(part(x, 1)), lambda u: F.struct(F.concat(F.lit(UNIT), u["a"]).alias("a"), u["b"].alias("b"))))
+    unit_or_none = lambda x: F.coalesce(unit(x), F.array().cast("array<struct<a:string,b:string>>"))
+    values = lambda own: F.flatten(F.transform(own, lambda x: F.concat(F.array(part(x, 0)), unit_or_none(x))))
+    verbatim = lambda pairs: F.forall(pairs, lambda x: F.substring_index(x["a"], UNIT, -1) == x["b"])
 
     def good(w: Column) -> Column:
-        own = slots(w)
-        consistent = F.size(F.array_distinct(own)) == F.size(F.array_distinct(F.transform(own, lambda x: x["a"])))
-        worded = 100 * F.size(own) <= (100 - LEAST_WORD_PERCENT) * F.size(w)
-        return F.forall(w, lambda x: x["same"]) & (F.forall(own, lambda x: x["a"] == x["b"]) | (consistent & worded))
+        pairs = values(slots(w))
+        consistent = F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"])))
+        worded = 100 * F.size(slots(w)) <= (100 - LEAST_WORD_PERCENT) * F.size(w)
+        return F.forall(w, lambda x: x["same"]) & (verbatim(pairs) | (consistent & worded))
 
     df = pairs.withColumn("_both", both)
     at = F.when(F.size("_both") >= F.col("need"), F.sequence(F.lit(0), F.size("_both") - F.col("need"))).otherwise(F.array().cast("array<int>"))
@@ -138,7 +167,7 @@ def stretches(pairs: DataFrame) -> DataFrame:
     df = df.withColumn("_s", F.explode(F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last"))))
     run = (F.col("_s")["last"] - F.col("_s")["first"] + F.col("need")).cast("int")
     df = df.withColumn("run_tokens", run).withColumn("_own", slots(F.slice("_both", F.col("_s")["first"] + 1, run)))
-    return df.withColumn("n_slots", F.size("_own")).withColumn("verbatim", F.forall("_own", lambda x: x["a"] == x["b"])).drop("_both", "_good", "_s", "_own")
+    return df.withColumn("n_slots", F.size("_own")).withColumn("verbatim", verbatim(values(F.col("_own")))).drop("_both", "_good", "_s", "_own")
 
 
 def contamination(
@@ -162,27 +191,26 @@ def contamination(
     lengths = sorted({min(WINDOW, n) for n in needs}) or [WINDOW]
     # A run of n tokens holds a window of WINDOW at a multiple of n - WINDOW + 1.
     strides = {n: min([x for x in needs if x >= WINDOW], default=RUN_TOKENS) - WINDOW + 1 if n == WINDOW else 1 for n in lengths}
-    own = reduce(lambda c, n: c.when(F.least(F.lit(WINDOW), "need") == n, _windows(F.col("item_tokens"), F.col("_hashes"), n)), lengths, F.when(F.lit(False), F.array().cast("array<struct<at:int,near:bigint,h:bigint>>")))
-    found = items.withColumn("_hashes", _hashes(F.col("item_tokens"))).select("item", "named", F.explode(own).alias("_w"))
-    found = written(found.select("item", "named", F.col("_w")["at"].alias("item_at"), F.col("_w")["near"].alias("near"), F.col("_w")["h"].alias("h")), "windows")
+    own = reduce(lambda c, n: c.when(F.least(F.lit(WINDOW), "need") == n, _windows(F.col("item_tokens"), F.col("_kinds"), n)), lengths, F.when(F.lit(False), F.array().cast("array<struct<at:int,near:bigint,h:bigint>>")))
+    found = items.withColumn("_kinds", F.transform("item_tokens", _kind)).select("item", "merged", F.explode(own).alias("_w"))
+    found = written(found.select("item", "merged", F.col("_w")["at"].alias("item_at"), F.col("_w")["near"].alias("near"), F.col("_w")["h"].alias("h")), "windows")
     few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     light = (items.agg(F.sum(F.size("item_tokens").cast("long"))).first()[0] or 0) <= MOST_BROADCAST_TOKENS
     near = lambda df, small: F.broadcast(df) if small else df
 
-    hashed = docs.select("doc_id", _tokens(F.col("text")).alias("_t"))
-    hashed = hashed.select("doc_id", *[_hashes(F.transform("_t", _read(named))).alias(f"_h{named:d}") for named in READINGS])
-    every = F.array_distinct(F.concat(*[_near(F.col(f"_h{named:d}"), n, strides[n]) for n in lengths for named in READINGS]))
-    hits = hashed.select(F.col("doc_id").alias("_hit"), F.explode(every).alias("near")).join(near(found.select("near").distinct(), few), "near", "left_semi").select("_hit").distinct()
-    # Equal rows have equal results: the tokens' hash tells rows of an id apart.
-    some = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").select("doc_id", _tokens(F.col("text")).alias("tokens")).withColumn("row", F.xxhash64("doc_id", "tokens"))
+    kinds = docs.select("doc_id", *[_kinds(F.col("text"), merged).alias(f"_k{merged:d}") for merged in READINGS])
+    every = F.concat(*[_near(F.col(f"_k{merged:d}"), n, strides[n]) for n in lengths for merged in READINGS])
+    hits = kinds.select(F.col("doc_id").alias("_hit"), F.explode(every).alias("near")).join(near(found.select("near").distinct(), few), "near", "left_semi").select("_hit").distinct()
+    # Equal rows have equal results: the text's hash tells rows of an id apart.
+    some = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").withColumn("row", F.xxhash64("doc_id", "text"))
     some = written(some, "suspects").dropDuplicates(["doc_id", "row"])
-    read = _readings(some, "tokens")
-    met = read.withColumn("_hashes", _hashes(F.col("tokens"))).select("doc_id", "row", "named", _windows_of("tokens", lengths).alias("_w"))
-    met = met.select("doc_id", "row", "named", F.col("_w")["at"].alias("at"), F.col("_w")["h"].alias("h")).join(near(found.drop("near"), few), ["named", "h"])
-    met = met.select("doc_id", "row", "named", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    read = written(_readings(some, "text", "tokens"), "readings")
+    met = read.withColumn("_kinds", F.transform("tokens", _kind)).select("doc_id", "row", "merged", _windows_of("tokens", lengths).alias("_w"))
+    met = met.select("doc_id", "row", "merged", F.col("_w")["at"].alias("at"), F.col("_w")["h"].alias("h")).join(near(found.drop("near"), few), ["merged", "h"])
+    met = met.select("doc_id", "row", "merged", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     # Texts come in again where they meet an item only.
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")) & (F.col("named") == F.col("_named"))
-    pairs = met.join(near(items, light), ["item", "named"]).join(read.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("named").alias("_named"), "tokens"), key)
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")) & (F.col("merged") == F.col("_merged"))
+    pairs = met.join(near(items, light), ["item", "merged"]).join(read.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("merged").alias("_merged"), "tokens"), key)
     skip = F.greatest(F.lit(0), -F.col("shift"))
     n = F.greatest(F.lit(0), F.least(F.size("item_tokens") - skip, F.size("tokens") - F.col("shift") - skip))
     pairs = pairs.select("doc_id", "item_id", "need", F.slice("item_tokens", skip + 1, n).alias("theirs"), F.slice("tokens", F.col("shift") + skip + 1, n).alias("ours"))

@@ -48,43 +48,54 @@ SELECT conv_id, turn, call_id, level, 'count' AS name, errors = '' AS valid, err
  CASE WHEN n % 3 > 0 THEN '"{\\"characters\\":' || n || ',\\"words\\":' || len(string_split(text, ' ')) || '}"' ELSE 'null' END || '}' AS json
 FROM e JOIN l USING (call_id)"""
 
-_UNITS = "|".join(D.UNITS)
-
-
-
-def _tokens(table: str, key: str) -> str:
-    """Tokens with their slots' values; names are marked in two passes, as this engine looks behind nothing."""
-    name = r"([\p{Ll}\p{Nd},;]\s)(\p{Lu}\p{Ll}+)"
-    initial = rf"(^|[^\p{{L}}\p{{N}}{D.NUMBER}-{D.INITIAL}%$€£])(\p{{Lu}}\p{{Ll}})"
-    unit = rf"({D.NUMBER}[\d{D.POINT}]*)\s*(?:((?i:{_UNITS}))([^\p{{L}}\p{{N}}]|$)|([%$€£]))"
-    steps = [(r"(\d)[.,](\d)", rf"\1{D.POINT}\2"), (rf"(\d[\d{D.POINT}]*)", rf" {D.NUMBER}\1 "), (unit, rf"\1 {D.UNIT}\2\4 \3"), (name, rf"\1{D.NAME}\2"), (name, rf"\1{D.NAME}\2"), (initial, rf"\1{D.INITIAL}\2")]
+_FUNCTION_WORDS = "|".join(sorted({w for words in D.FUNCTION_WORDS.values() for w in words}))
+
+
+def _tokens(table: str, key: str, merged: int) -> str:
+    """Tokens of a reading with their slots' values; this engine looks behind and ahead of nothing, so some steps are done twice or undone."""
+    name = rf"((?:[\p{{Ll}}\p{{Nd}},;{D.NUMBER}]|[\p{{Nd}}{D.NUMBER}]\s)\s)(\p{{Lu}}\p{{Ll}}+)"
+    run = rf"({D.NAME}[{D.TOKEN}]*)\s({D.NAME})"
+    steps = [(r"(\d)[.,](\d)", rf"\1{D.POINT}\2"), (r"(\d)[.,](\d)", rf"\1{D.POINT}\2"), (rf"(\d[\d{D.POINT}]*)", rf" {D.NUMBER}\1 ")]
+    if merged:
+        steps += [(rf"({D.NUMBER}[\d{D.POINT}]*)\s+({D.UNIT_LIKE})([^{D.TOKEN}]|$)", rf"\1{D.UNIT}\2\3"), (rf"({D.NUMBER}[\d{D.POINT}]*)\s+([%$€£])", rf"\1{D.UNIT}\2"), (rf"{D.UNIT}((?i:{_FUNCTION_WORDS}))([^{D.TOKEN}]|$)", r" \1\2")]
+        steps += [(rf"(^|[^{D.TOKEN}])(\p{{Lu}}\p{{Ll}})", rf"\1{D.NAME}\2"), (run, rf"\1{D.JOIN}\2"), (run, rf"\1{D.JOIN}\2")]
+    else:
+        steps += [(name, rf"\1{D.NAME}\2"), (name, rf"\1{D.NAME}\2")]
     text = "text"
     for pattern, by in steps:
         text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
-    return rf"SELECT {key}, list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}{D.NUMBER}-{D.INITIAL}%$€£]+'), lambda x: x <> '') AS ts FROM {table}"
+    value = f"CASE WHEN x[1] = '{D.NAME}' THEN '{D.NAME}' || replace(replace(x, '{D.NAME}', ''), '{D.JOIN}', ' ') ELSE x END"
+    return f"SELECT {key}, {merged} AS r, list_transform(list_filter(string_split_regex(lower({text}), '[^{D.TOKEN}]+'), lambda x: x <> ''), lambda x: {value}) AS ts FROM {table}"
+
+
+_SLOT = f"'[{D.NUMBER}{D.NAME}]'"
 
 
-_SLOT = f"'[{D.NUMBER}{D.UNIT}{D.NAME}]'"
+def _read(table: str, key: str) -> str:
+    """Both readings. ks are the tokens without values."""
+    return f"SELECT {key}, r, ts, list_transform(ts, lambda x: CASE WHEN regexp_matches(x[1], {_SLOT}) THEN x[1] ELSE x END) AS ks FROM ({_tokens(table, key, 0)} UNION ALL {_tokens(table, key, 1)})"
 
 
-def _read(tokens: str, key: str) -> str:
-    """Both readings: words that begin a sentence as words, or as names. ks are the tokens without values."""
-    return f"""SELECT {key}, r, ts, list_transform(ts, lambda x: CASE WHEN regexp_matches(x[1], {_SLOT}) THEN x[1] ELSE x END) AS ks FROM
- (SELECT {key}, r, list_transform(ts, lambda x: CASE WHEN x[1] <> '{D.INITIAL}' THEN x WHEN r = 0 THEN x[2:] ELSE '{D.NAME}' || x[2:] END) AS ts FROM ({tokens}), range(2) s(r))"""
+def _values(z: str) -> str:
+    """Pairs of slots as pairs of values: numbers and names, then units where both sides have one."""
+    part = lambda n: f"[split_part(x[1], '{D.UNIT}', {n}), split_part(x[2], '{D.UNIT}', {n})]"
+    units = f"list_transform(list_filter({z}, lambda x: contains(x[1], '{D.UNIT}') AND contains(x[2], '{D.UNIT}')), lambda x: list_transform({part(2)}, lambda u: '{D.UNIT}' || u))"
+    return f"list_concat(list_transform({z}, lambda x: {part(1)}), {units})"
 
 
 # Every window of 13 tokens (or of a shorter item's length) is judged by itself; stretches of good ones are joined.
 OP3 = f"""
-WITH d AS ({_read(_tokens("documents", "doc_id"), "doc_id")}), b AS (SELECT *, least(13, len(ts)) AS need FROM ({_read(_tokens("benchmark", "item_id"), "item_id")}) WHERE len(ts) > 0),
+WITH d AS ({_read("documents", "doc_id")}), b AS (SELECT *, least(13, len(ts)) AS need FROM ({_read("benchmark", "item_id")}) WHERE len(ts) > 0),
 bw AS (SELECT item_id, r, need, i, array_to_string(ks[i:i + need - 1], ' ') AS w, ts[i:i + need - 1] AS a FROM (SELECT *, unnest(range(1, len(ks) - need + 2)) AS i FROM b)),
 dw AS (SELECT doc_id, r, need, i, array_to_string(ks[i:i + need - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ks) - need + 2)) AS i FROM d, (SELECT DISTINCT need FROM b))),
 p AS (SELECT doc_id, item_id, r, need, dw.i, dw.i - bw.i AS shift, a FROM dw JOIN bw USING (r, need, w)),
 s AS (SELECT doc_id, item_id, r, need, i, shift, list_filter(list_zip(a, ts[i:i + need - 1]), lambda x: regexp_matches(x[1][1], {_SLOT})) AS z FROM p JOIN d USING (doc_id, r)),
-good AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, r, shift ORDER BY i) AS g FROM s
- WHERE len(list_filter(z, lambda x: x[1] <> x[2])) = 0 OR (2 * len(z) <= need AND len(list_distinct(z)) = len(list_distinct(list_transform(z, lambda x: x[1]))))),
+v AS (SELECT *, {_values('z')} AS vs FROM s),
+good AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, r, shift ORDER BY i) AS g FROM v
+ WHERE len(list_filter(vs, lambda x: x[1] <> x[2])) = 0 OR (2 * len(z) <= need AND len(list_distinct(vs)) = len(list_distinct(list_transform(vs, lambda x: x[1]))))),
 runs AS (SELECT doc_id, item_id, r, shift, min(i) AS first, count(*) + any_value(need) - 1 AS run FROM good GROUP BY doc_id, item_id, r, shift, g),
 whole AS (SELECT doc_id, item_id, run, list_filter(list_zip(b.ts[first - shift:first - shift + run - 1], d.ts[first:first + run - 1]), lambda x: regexp_matches(x[1][1], {_SLOT})) AS z FROM runs JOIN b USING (item_id, r) JOIN d USING (doc_id, r))
-SELECT doc_id, item_id, run::INT AS run_tokens, len(z)::INT AS n_slots, len(list_filter(z, lambda x: x[1] <> x[2])) = 0 AS verbatim FROM whole
+SELECT doc_id, item_id, run::INT AS run_tokens, len(z)::INT AS n_slots, len(list_filter({_values('z')}, lambda x: x[1] <> x[2])) = 0 AS verbatim FROM whole
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY run_tokens DESC, n_slots DESC, verbatim DESC) = 1"""
 
 OP9 = """
