@@ -2,6 +2,7 @@ import random
 
 from tests.llm.cases import documents, odd_rows, prose, with_clashing_columns
 from verdant.llm import decontaminate as D
+from verdant.llm.oracles import ORACLE_SQL
 
 ITEM = "Yesterday Anna bought 12 apples for 3 euros and gave Peter 5 km of her longest rope while Anna kept the rest"
 
@@ -181,30 +182,43 @@ UNITS = {"en": ["km", "furlongs", "pears", "rods"], "de": ["Meter", "Äpfel", "E
 
 
 def test_recall_of_planted_questions(spark):
-    """At least 0.9 of 60 re-parameterised copies a language are found, none by another item, and no text without a copy.
-
-    A unit that stands without a number ("how many pears") is a word, so that question is found only where that unit is kept.
-    """
-    rng, bare = random.Random(11), QUESTIONS["en"][2]
+    """At least 0.9 of 60 re-parameterised copies a language are found, none by another item, and no text without a copy."""
+    rng = random.Random(11)
 
     def fill(lang, q):
         (a, b), (u, v) = rng.sample(NAMES, 2), rng.sample(UNITS[lang], 2)
         n, m, k = rng.sample([2, 3, 7, 12, 40, "1,500", 6.25, 81], 3)
-        return q.format(a=a, b=b, n=n, m=m, k=k, u=u, v=v), v
+        return q.format(a=a, b=b, n=n, m=m, k=k, u=u, v=v)
 
     items, rows, want = [], [], {}
     for lang, questions in QUESTIONS.items():
         for q in questions:
-            text, unit = fill(lang, q)
-            items.append((len(items), text))
+            items.append((len(items), fill(lang, q)))
             for _ in range(20):
-                copy, other = fill(lang, q)
-                want[len(rows)] = (lang, items[-1][0], q != bare or unit == other)
-                rows.append((len(rows), f"{prose(rng, 30)}. {copy} {prose(rng, 30)}"))
+                want[len(rows)] = (lang, items[-1][0])
+                rows.append((len(rows), f"{prose(rng, 30)}. {fill(lang, q)} {prose(rng, 30)}"))
     rows += [(len(rows) + i, prose(rng, 100)) for i in range(100)]
     got = set(found(spark, rows, items))
     for lang in QUESTIONS:
-        own = [(d, i) for d, (x, i, kept) in want.items() if x == lang and kept]
+        own = [(d, i) for d, (x, i) in want.items() if x == lang]
         print(lang, sum(p in got for p in own), "of", len(own))
-        assert sum(p in got for p in own) >= 0.9 * len(own), lang
+        assert len(own) == 60 and sum(p in got for p in own) >= 54, lang
     assert got == {p for p in got if p[1] == want[p[0]][1]}
+
+
+def test_units_that_are_asked_for(spark):
+    """A unit after "how many" may change with its numbers' units; all results against the SQL."""
+    item = "Tom has 3 pears and 5 nuts, so how many pears does Ann have if she takes 4 nuts from the box at home"
+    other = item.replace("pears", "rods").replace("nuts", "figs")
+    twisted = item.replace("3 pears", "3 rods")
+    german = "Wenn der Korb leer ist, wie viele davon hat dann die Frau in der Stadt noch zu kaufen"
+    rows = [(1, other), (2, "well, " + other.replace("how many", "HOW  MANY")), (3, twisted), (4, german), (5, item.replace("pears does", "of us does")), (6, "how many how many pears how many km5 how many 5 km how many")]
+    items = [(1, item), (2, german), (3, "how many pears how many km5 how many 5 km how many of")]
+    got = found(spark, rows, items)
+    assert {(1, 1), (2, 1), (4, 2)} <= set(got) and not got[1, 1]["verbatim"] and got[4, 2]["verbatim"] and got[1, 1]["run_tokens"] > got.get((3, 1), {"run_tokens": 0})["run_tokens"]
+    con = __import__("duckdb").connect()
+    for table, key, values in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        con.execute(f"create table {table} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {table} values (?, ?)", values)
+    names = ("doc_id", "item_id", "run_tokens", "n_slots", "verbatim")
+    assert sorted(tuple(r[n] for n in names) for r in got.values()) == sorted(con.execute(ORACLE_SQL["op3_decontaminate"]).fetchall())

@@ -11,8 +11,8 @@ A document is contaminated by an item if, in one reading, a window of
 ``RUN_TOKENS`` template tokens (or a whole shorter item) is common to both, and
 either all its slots have the same values or at most half of its tokens are
 slots and their values are consistent: one document value for each item value,
-numbers and units by themselves; a unit that only one side has is no evidence. A unit without a number
-("how many pears") is a word.
+numbers and units by themselves; a unit that only one side has is no evidence. Merged, the unit-like word after
+"how many" is a slot with a unit and no number; it counts as a word where slots are held against half of the tokens.
 Thus the same question with other numbers, names or units is found, whatever
 comes before and after, and a chance likeness of slots isn't.
 
@@ -46,6 +46,8 @@ FUNCTION_WORDS = {
     "fr": "à au aux ce ces cette dans de des donc du elle en est et il ils je la le les leur mais ne nous ont ou où par pas pour que qui sa se ses son sont sur un une vous y".split(),
     "es": "a al como con cuando de del el ella en era es esta este fue ha la las le lo los más no o para pero por que se si sin son su sus un una y ya".split(),
 }
+# Words that ask for a number, before a unit.
+HOW_MANY = {"en": ["how many"], "de": ["wie viele"], "fr": ["combien de"], "es": ["cuántos", "cuántas"]}
 # Slots begin with a private-use character; such characters in a text are read as these.
 NUMBER, UNIT, NAME, POINT, JOIN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 #: Characters of a token, less the brackets of a class.
@@ -57,6 +59,8 @@ _NAMES = rf"\p{{Lu}}(?<=(?:[\p{{Ll}}\p{{Nd}},;{NUMBER}]|[\p{{Nd}}{NUMBER}]\s)\s\
 _CAPITALS = rf"\p{{Lu}}(?<![{TOKEN}]\p{{Lu}})(?=\p{{Ll}})"
 _WORD = rf"(?!(?i:{'|'.join(sorted({w for words in FUNCTION_WORDS.values() for w in words}))})(?![{TOKEN}])){UNIT_LIKE}(?![{TOKEN}])"
 _UNIT = rf"\s+(?=[%$€£]|{_WORD})"
+ASKING = "|".join(w.replace(" ", r"\s+") for words in HOW_MANY.values() for w in words)
+_ASKED = rf"(?<![{TOKEN}])(?iu:{ASKING})(?=\s+{_WORD})"
 #: The readings: whether names and units are merged.
 READINGS = (False, True)
 
@@ -75,7 +79,7 @@ def _tokens(text: Column, merged: bool) -> Column:
     t = _numbered(text)
     if not merged:
         return _split(F.regexp_replace(t, f"({_NAMES})", f"{NAME}$1"))
-    t = F.regexp_replace(t, rf"({NUMBER}[\d{POINT}]*){_UNIT}", f"$1{UNIT}")
+    t = F.regexp_replace(F.regexp_replace(t, _ASKED, f"$0 {NUMBER}"), rf"({NUMBER}[\d{POINT}]*){_UNIT}", f"$1{UNIT}")
     t = F.regexp_replace(t, _CAPITALS, f"{NAME}$0")
     t = F.regexp_replace(t, rf"({NAME}[{TOKEN}]*)\s(?={NAME})", f"$1{JOIN}")
     return F.transform(_split(t), lambda x: F.when(x.startswith(NAME), F.concat(F.lit(NAME), F.translate(x, JOIN + NAME, " "))).otherwise(x))
@@ -86,7 +90,7 @@ def _kinds(text: Column, merged: bool) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), _NUMBERS, f" {NUMBER} ")
     if not merged:
         return _split(F.regexp_replace(t, f"{_NAMES}[{TOKEN}]*", NAME))
-    t = F.regexp_replace(t, rf"{NUMBER}{_UNIT}[{TOKEN}]+", NUMBER)
+    t = F.regexp_replace(F.regexp_replace(t, _ASKED, f"$0 {NUMBER}"), rf"{NUMBER}{_UNIT}[{TOKEN}]+", NUMBER)
     return _split(F.regexp_replace(t, rf"{_CAPITALS}[{TOKEN}]*(?:\s\p{{Lu}}\p{{Ll}}[{TOKEN}]*)*", NAME))
 
 
@@ -157,7 +161,8 @@ def stretches(pairs: DataFrame) -> DataFrame:
     def good(w: Column) -> Column:
         pairs = values(slots(w))
         consistent = F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"])))
-        worded = 100 * F.size(slots(w)) <= (100 - LEAST_WORD_PERCENT) * F.size(w)
+        valued = F.filter(slots(w), lambda x: ~x["a"].startswith(NUMBER + UNIT))
+        worded = 100 * F.size(valued) <= (100 - LEAST_WORD_PERCENT) * F.size(w)
         return F.forall(w, lambda x: x["same"]) & (verbatim(pairs) | (consistent & worded))
 
     df = pairs.withColumn("_both", both)

@@ -57,6 +57,8 @@ def _tokens(table: str, key: str, merged: int) -> str:
     run = rf"({D.NAME}[{D.TOKEN}]*)\s({D.NAME})"
     steps = [(r"(\d)[.,](\d)", rf"\1{D.POINT}\2"), (r"(\d)[.,](\d)", rf"\1{D.POINT}\2"), (rf"(\d[\d{D.POINT}]*)", rf" {D.NUMBER}\1 ")]
     if merged:
+        asked = (rf"(^|[^{D.TOKEN}])((?i:{D.ASKING}))\s+({D.UNIT_LIKE})([^{D.TOKEN}]|$)", rf"\1\2 {D.NUMBER}{D.UNIT}\3\4")
+        steps += [asked, asked, (rf"{D.NUMBER}{D.UNIT}((?i:{_FUNCTION_WORDS}))([^{D.TOKEN}]|$)", r"\1\2")]
         steps += [(rf"({D.NUMBER}[\d{D.POINT}]*)\s+({D.UNIT_LIKE})([^{D.TOKEN}]|$)", rf"\1{D.UNIT}\2\3"), (rf"({D.NUMBER}[\d{D.POINT}]*)\s+([%$€£])", rf"\1{D.UNIT}\2"), (rf"{D.UNIT}((?i:{_FUNCTION_WORDS}))([^{D.TOKEN}]|$)", r" \1\2")]
         steps += [(rf"(^|[^{D.TOKEN}])(\p{{Lu}}\p{{Ll}})", rf"\1{D.NAME}\2"), (run, rf"\1{D.JOIN}\2"), (run, rf"\1{D.JOIN}\2")]
     else:
@@ -92,7 +94,7 @@ p AS (SELECT doc_id, item_id, r, need, dw.i, dw.i - bw.i AS shift, a FROM dw JOI
 s AS (SELECT doc_id, item_id, r, need, i, shift, list_filter(list_zip(a, ts[i:i + need - 1]), lambda x: regexp_matches(x[1][1], {_SLOT})) AS z FROM p JOIN d USING (doc_id, r)),
 v AS (SELECT *, {_values('z')} AS vs FROM s),
 good AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, r, shift ORDER BY i) AS g FROM v
- WHERE len(list_filter(vs, lambda x: x[1] <> x[2])) = 0 OR (2 * len(z) <= need AND len(list_distinct(vs)) = len(list_distinct(list_transform(vs, lambda x: x[1]))))),
+ WHERE len(list_filter(vs, lambda x: x[1] <> x[2])) = 0 OR (2 * len(list_filter(z, lambda x: NOT starts_with(x[1], '{D.NUMBER}{D.UNIT}'))) <= need AND len(list_distinct(vs)) = len(list_distinct(list_transform(vs, lambda x: x[1]))))),
 runs AS (SELECT doc_id, item_id, r, shift, min(i) AS first, count(*) + any_value(need) - 1 AS run FROM good GROUP BY doc_id, item_id, r, shift, g),
 whole AS (SELECT doc_id, item_id, run, list_filter(list_zip(b.ts[first - shift:first - shift + run - 1], d.ts[first:first + run - 1]), lambda x: regexp_matches(x[1][1], {_SLOT})) AS z FROM runs JOIN b USING (item_id, r) JOIN d USING (doc_id, r))
 SELECT doc_id, item_id, run::INT AS run_tokens, len(z)::INT AS n_slots, len(list_filter({_values('z')}, lambda x: x[1] <> x[2])) = 0 AS verbatim FROM whole
