@@ -19,8 +19,9 @@ from verdant.operators import kpi as K
 from verdant.operators import links as L
 from verdant.operators import polygons as P
 from verdant.operators import registry as G
-from verdant.sources import preview
+from verdant.sources import preview, xlsx
 from verdant.plans import schema as S
+from verdant.scratch import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -616,3 +617,17 @@ def folded_scripts(spark, sf_dir):
     names = ["Čapek ", "Œuvre ", "Michał ", "Erdo\u030bs ", "Şahin ", "Nguye\u0302\u0303n ", "Ørsted "]
     name = F.concat(F.element_at(F.array(*map(F.lit, names)), (F.col("s_suppkey") % 7 + 1).cast("int")), F.col("s_name"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.slug(name).alias("slug"), T.normal_name(name).contains("sahin").alias("found"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate + to_milliseconds(1000 + o_orderkey % 86399000), '%Y-%m-%d %H:%M:%S.%g') AS at,
+  CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice / 3 END AS price, CASE o_orderkey % 3 WHEN 0 THEN ' <' || o_orderpriority || '>_x0041_ ' END AS priority, CASE o_orderkey % 2 WHEN 0 THEN 'TRUE' ELSE 'FALSE' END AS even FROM orders""")
+def workbook_rows(spark, sf_dir):
+    """Orders with dates, times, numbers, flags, text and blanks, through workbooks that the tasks write."""
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "cast(o_orderdate as date) AS day", "timestampadd(MILLISECOND, 1000 + o_orderkey % 86399000, o_orderdate) AS at", "CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice / 3 END AS price",
+        "CASE o_orderkey % 3 WHEN 0 THEN ' <' || o_orderpriority || '>_x0041_ ' END AS priority", "o_orderkey % 2 = 0 AS even",
+    )
+    path = new_folder(spark, "orders")
+    xlsx.write_xlsx(df, path)
+    at = F.when(F.length("at") == 19, F.concat("at", F.lit(".000"))).otherwise(F.col("at"))
+    return xlsx.read_xlsx(spark, path).withColumn("price", F.col("price").cast("double")).withColumn("at", at)
