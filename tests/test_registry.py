@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verdant.operators import integrity as I
 from verdant.operators import links as L
 from verdant.operators import registry as G
+from verdant.plans import queries
 from verdant.plans import schema as S
 from verdant.sources import files, preview, tables, xlsx
 
@@ -123,6 +124,17 @@ def test_preview_order():
     assert preview.preview("<title> T  x</title>", None) == ("T x", "", "") and preview.preview(None, None) == ("", "", "")
 
 
+def test_references_without_an_end_are_text(spark):
+    """Titles that are cut within a reference, against the query's SQL."""
+    titles = ["a&amp;&amp", "b &am", "c&quot; &quot", "&amp;amp", "d &ampx; & e&", "&amp;quot;", "  f\n g&amp", ""]
+    rows = [(k, f"<html><head><title>{t}</title><style>p{{}}</style></head><body><p>&amp x</p></body></html>") for k, t in enumerate(titles)] + [(99, None)]
+    got = preview.previews(spark.createDataFrame(rows, "url long, html string").selectExpr("cast(url as string) as url", "html")).select("url", "title").collect()
+    con = pytest.importorskip("duckdb").connect()
+    con.execute("create table pages (page_id bigint, html varchar)")
+    con.executemany("insert into pages values (?, ?)", rows)
+    assert {(int(r["url"]), r["title"]) for r in got} == set(con.execute(queries.ORACLE_SQL["page_title"]).fetchall())
+
+
 def test_linked_keys(spark):
     df = spark.createDataFrame([("h1", 1), ("h1", 2), ("h2", 2), ("h2", 2)], "h string, k int")
     keys = lambda x: [r[0] for r in x.collect()]
