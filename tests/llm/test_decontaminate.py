@@ -222,3 +222,10 @@ def test_units_that_are_asked_for(spark):
         con.executemany(f"insert into {table} values (?, ?)", values)
     names = ("doc_id", "item_id", "run_tokens", "n_slots", "verbatim")
     assert sorted(tuple(r[n] for n in names) for r in got.values()) == sorted(con.execute(ORACLE_SQL["op3_decontaminate"]).fetchall())
+
+
+def test_runs_of_any_length(spark):
+    """Thousands of names or digits in a row end no executor, and what comes after them is found."""
+    runs = ["Anna Maria " * 10_000, "7" * 20_000, "1,234." * 5_000 + "5", "12 km " * 5_000]
+    rows = [(d, f"so {run}. And then: {ITEM}") for d, run in enumerate(runs)] + [(9, runs[0])]
+    assert set(found(spark, rows, [(7, ITEM)])) == {(d, 7) for d in range(len(runs))}

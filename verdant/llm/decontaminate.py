@@ -54,7 +54,8 @@ NUMBER, UNIT, NAME, POINT, JOIN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue00
 TOKEN = rf"a-z\p{{L}}\p{{N}}{NUMBER}-{JOIN}%$€£"
 #: A word after a number that may be a unit: no name (a capital and small letters), no function word.
 UNIT_LIKE = r"(?:\p{Ll}\p{L}*|\p{Lu}{2,4}\p{Ll}?|[A-HJ-Z])"
-_NUMBERS = rf"\d(?:[\d{POINT}]|[.,](?<=\d[.,])(?=\d))*"
+# Repeated groups are possessive: Java matches those in a loop, others by a recursion that a long run overflows, which ends the executor.
+_NUMBERS = rf"\d(?:[\d{POINT}]|[.,](?<=\d[.,])(?=\d))*+"
 _NAMES = rf"\p{{Lu}}(?<=(?:[\p{{Ll}}\p{{Nd}},;{NUMBER}]|[\p{{Nd}}{NUMBER}]\s)\s\p{{Lu}})\p{{Ll}}+"
 _CAPITALS = rf"\p{{Lu}}(?<![{TOKEN}]\p{{Lu}})(?=\p{{Ll}})"
 _WORD = rf"(?!(?i:{'|'.join(sorted({w for words in FUNCTION_WORDS.values() for w in words}))})(?![{TOKEN}])){UNIT_LIKE}(?![{TOKEN}])"
@@ -91,7 +92,7 @@ def _kinds(text: Column, merged: bool) -> Column:
     if not merged:
         return _split(F.regexp_replace(t, f"{_NAMES}[{TOKEN}]*", NAME))
     t = F.regexp_replace(F.regexp_replace(t, _ASKED, f"$0 {NUMBER}"), rf"{NUMBER}{_UNIT}[{TOKEN}]+", NUMBER)
-    return _split(F.regexp_replace(t, rf"{_CAPITALS}[{TOKEN}]*(?:\s\p{{Lu}}\p{{Ll}}[{TOKEN}]*)*", NAME))
+    return _split(F.regexp_replace(t, rf"{_CAPITALS}[{TOKEN}]*(?:\s\p{{Lu}}\p{{Ll}}[{TOKEN}]*)*+", NAME))
 
 
 def _is_slot(token: Column) -> Column:
