@@ -111,3 +111,19 @@ def test_blocks_of_any_size_give_the_same_links(spark):
     assert found[0] == found[1] == found[2] and all(u > v for u, v in found[0])
     own = {r["fp"]: N.shingles(dict(rows)[r["doc_id"]].encode()) for r in sets.collect()}
     assert {(u, v) for u in own for v in own if u > v and N.alike(own[u], own[v])} <= found[0]
+
+
+def test_fuzzy_keys_propose_what_is_within_two_bits(spark, monkeypatch):
+    """Sets whose SimHashes differ in two bits at most share a Golay key; they are linked if they are alike, bands or not."""
+    rng = random.Random(6)
+    originals = [prose(rng, 6000) for _ in range(3)]
+    rows = [(10 * i + n, changed(rng, t, n)) for i, t in enumerate(originals) for n in range(3)]
+    own = {d: N.shingles(t.encode()) for d, t in rows}
+    keys = dict(zip(own, map(set, N.fuzzy_keys(list(own.values()))), strict=True))
+    near = {(d, e) for d in own for e in own if d < e and (N.fingerprint(own[d]) ^ N.fingerprint(own[e])).bit_count() <= 2}
+    assert len(near) >= 3 and all(keys[d] & keys[e] for d, e in near) and N.fuzzy_keys([N.shingles(None)]) == [[]]
+    apart = " ".join(f"w{k}" for k in range(50)).encode()
+    assert N.fingerprint(N.shingles(apart)).to_bytes(8, "big") == N.simhash.fingerprint(apart, N.WORDS)
+    monkeypatch.setattr(N, "band_keys", lambda found: [])
+    got = {r["doc_id"]: r["component_id"] for r in N.near_copies(documents(spark, rows)).collect()}
+    assert all(got[d] == got[e] == d // 10 * 10 for d, e in near if d % 10 == 0) and {d // 10 for d in got.values()} == {0, 1, 2}

@@ -1,16 +1,19 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by Golay-code fuzzy hashing and the exact Jaccard similarity of word shingles.
 
-MinHash bands propose pairs, the sets decide: two texts are linked if the sets
-of their five-word shingles have a Jaccard similarity of ``LEAST`` or more. Of
-pairs at the bound itself 1 - (1 - 0.8^5)^20 = 0.9996 share a band, of more
-similar pairs more.
+Two texts are linked if the sets of their five-word shingles have a Jaccard
+similarity of ``LEAST`` or more. Keys propose pairs, the sets decide. The keys
+are those of ``simhash``: the SimHash of a set, cut into segments, an exact one
+with the Golay codewords near the next. They hold all pairs within two bits;
+most pairs at the bound are further apart, so MinHash bands are further keys
+beside them: of pairs at the bound itself 1 - (1 - 0.8^5)^20 = 0.9996 share a
+band, of more similar pairs more.
 
 Texts of the same set are one from the start. Each set has a sketch of parities,
 wide in proportion to it: the bits in which two sketches differ are a lower bound
 of the sets' difference, so pairs whose sketches differ too much are out without
 a look at the sets, at any size, unless they are close to the bound. In each
-band's bucket all sets are first compared with the most central one, the one that
-shares bands with most others, then those still in other components with the
+key's bucket all sets are first compared with the most central one, the one that
+shares keys with most others, then those still in other components with the
 next few. What this leaves in different components is compared by sketches, in
 blocks of bounded size: a bucket's blocks meet two by two in tasks of their own,
 and only pairs that the sketches can't rule out become rows. So a group of
@@ -29,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdant.llm import simhash
 from verdant.llm.shared import connected_components, drop, map_arrow, written
 from verdant.shipping import ship
 
@@ -73,6 +77,24 @@ def band_keys(found: np.ndarray) -> list[int]:
     return np.frombuffer(digests, np.int64).tolist()
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The 64-bit SimHash of a set, that of ``simhash.fingerprint`` where no shingle is repeated."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), _AT_ONCE):
+        ones += np.unpackbits(found[at : at + _AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big")
+
+
+def fuzzy_keys(sets: list[np.ndarray]) -> list[list[int]]:
+    """The Golay-code keys of each set's SimHash; none for an empty set."""
+    out: list[list[int]] = [[] for _ in sets]
+    row, key, _ = simhash.segment_keys(np.array([fingerprint(found) for found in sets], np.uint64))
+    for k, x in zip(row.tolist(), key.tolist(), strict=True):
+        if len(sets[k]):
+            out[k].append(x)
+    return out
+
+
 def sketch(found: np.ndarray) -> np.ndarray:
     """Parity bits of the number of shingles that fall on each place, as words; every bit that differs between two sets needs a shingle that only one has."""
     bits = max(LEAST_SKETCH, 1 << (SKETCH * len(found) - 1).bit_length()) if len(found) else LEAST_SKETCH
@@ -105,9 +127,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, fp, n, bits, keys) for every row; fp stands for the text's set of n shingles."""
 
     def rows(columns):
-        for key, hashed, text in zip(*columns, strict=True):
-            found = shingles(text)
-            yield key, hashed, int.from_bytes(xxhash.xxh64_digest(found.tobytes()), "big", signed=True), len(found), sketch(found).tobytes(), band_keys(found)
+        ids, hashes, texts = columns
+        sets = [shingles(text) for text in texts]
+        for key, hashed, found, fuzzy in zip(ids, hashes, sets, fuzzy_keys(sets), strict=True):
+            yield key, hashed, int.from_bytes(xxhash.xxh64_digest(found.tobytes()), "big", signed=True), len(found), sketch(found).tobytes(), fuzzy + band_keys(found)
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     return map_arrow(cols, ["doc_id", "text_hash", "text"], "doc_id long, text_hash long, fp long, n long, bits binary, keys array<long>", rows)
@@ -202,11 +225,11 @@ def _open_pairs(a: tuple, b: tuple, most: int = 1 << 22) -> Iterator[tuple[np.nd
 
 
 def links(distinct: DataFrame, docs: DataFrame, text_col: str, hubs: int = HUBS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) whose components are those of "alike" over the pairs that share a band; ``distinct`` is (fp, text_hash, n, bits, keys)."""
+    """Edges (u, v) whose components are those of "alike" over the pairs that share a key; ``distinct`` is (fp, text_hash, n, bits, keys)."""
     keys = distinct.select("fp", "text_hash", F.explode("keys").alias("key"))
     size = keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("size")).where("size > 1")
     keys = written(keys.join(size, F.col("key") == F.col("_key")).drop("_key"), "keys")
-    # A set that shares many bands is close to many: an original closer to its copies than they are to each other.
+    # A set that shares many keys is close to many: an original closer to its copies than they are to each other.
     central = keys.groupBy(F.col("fp").alias("_fp")).agg(F.struct(F.sum("size").alias("shares"), F.col("_fp").alias("fp")).alias("central"))
     some = keys.select("fp", "text_hash").distinct()
     full = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(some.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
